@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op4_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bloom_lm import corpus_scores
+
+    return corpus_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_groups
 
