@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gam import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda key: fold(key, 3) == 1)
 
 
 def op4_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +28,15 @@ def op4_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_scores(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_cnn import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    network = train(docs, held_out)
+    return predict(docs.withColumn("held_out", held_out), network, keep=["doc_id", "held_out"])
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_groups
 
@@ -22,6 +44,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import bpe_digests
+
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
