@@ -17,6 +17,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .gam import quality
 
@@ -29,6 +35,12 @@ def op4_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiset_hash import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_content import main_text
 
