@@ -93,7 +93,9 @@ def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: prepared(f) for name, f in globals().items() if name.startswith("op")}
+    import corpus_pipeline
+
+    return {name: prepared(f) for name, f in globals().items() if name.startswith("op")} | {"pipeline": prepared(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -151,10 +151,9 @@ def mask_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_ch
     """docs with every span of its texts masked, and the length column (if any) put right where a text has changed."""
     from pyspark.sql import functions as F
 
-    model = train(labelled or samples())
+    model, at_text = train(labelled or samples()), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_text = docs.columns.index(text)
         for batch in batches:
             for i, j, data, at in steps(batch.column(at_text)):
                 long, named, raw = _suspects(data, at)
