@@ -35,7 +35,7 @@ HEAD = 1 << 19
 #: Weight of the pair's probability in the mixture with the word's own.
 PAIR_WEIGHT = 0.2
 #: Words gathered before a task passes on what it counted.
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _PAIR, _WORD = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
