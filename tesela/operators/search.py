@@ -86,7 +86,9 @@ def _counted(docs: DataFrame, groups: list[list[Term]]) -> tuple[DataFrame, list
     """docs with `words` counts: tf0.. of each distinct term and the length, and the condition that a document matches."""
     terms = list(dict.fromkeys(t for g in groups for t in g))
     arrays = docs.select("path", *(tokens(F.col(c)).alias(c) for c in COLUMNS))
-    tf = [sum((_count(t, F.col(c)) for c in COLUMNS if t.column in (None, c)), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    # bound once by a lambda: an expression inside one would be worked out again for each place
+    bound = lambda t, c: F.transform(F.array(F.col(c)), lambda w: _count(t, w))[0]
+    tf = [sum((bound(t, c) for c in COLUMNS if t.column in (None, c)), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
     length = sum((F.size(c) for c in COLUMNS), F.lit(0)).alias("length")
     holds = lambda t: (F.col(f"tf{terms.index(t)}") > 0) != F.lit(t.negated)
     match = reduce(Column.__or__, (reduce(Column.__and__, map(holds, g)) for g in groups))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.star import TABLES, Star
 from . import oracle
+from .extras import EXTRAS
 from .questions import PARAMS, QUESTIONS
 from .views import VIEWS
 
@@ -19,7 +20,7 @@ def _query(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"tbl_{t}": _query(lambda c, t=t: c[t]) for t in TABLES}
     out |= {f"view_{v}": _query(f) for v, f in VIEWS.items()}
-    return out | {q: _query(lambda c, f=f: f(c, PARAMS)) for q, f in QUESTIONS.items()}
+    return out | {q: _query(lambda c, f=f: f(c, PARAMS)) for q, f in (QUESTIONS | EXTRAS).items()}
 
 
 def oracle_sql() -> dict[str, str]:

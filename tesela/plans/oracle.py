@@ -136,3 +136,68 @@ QUERIES = {
     "adv_11": "select a.doc persona_a, b.doc persona_b from persona a, persona b where ltrim(a.reports_to, '/') = b.doc and ltrim(b.reports_to, '/') = a.doc",
     "adv_12": "select doc, resource from documentos_sources where coalesce(trim(resource), '') = ''",
 }
+
+# ------------------------------------------------ search, rules, reports, derived tables, cost, integrity
+
+_TYPE_TABLES = list(_SOURCES)
+_CHILDREN = {"documentos_tags": "documentos", "documentos_verified": "documentos", "documentos_sources": "documentos", "decision_decisores": "decision", "iniciativa_sistemas": "iniciativa", "iniciativa_personas": "iniciativa", "reunion_asistentes": "reunion"}
+_NEEDED = {
+    "documentos": "hash type title description classification resumen resumen_hash procedencia", "analisis": "proyecto fecha", "decision": "proyecto estado fecha", "diagrama": "proyecto clase version", "iniciativa": "proyecto origen periodo estado", "insumo": "proyecto formato original", "lineamiento": "area fuente estado",
+    "persona": "rol", "plan": "proyecto source_of_truth last_review", "playbook": "proyecto", "pregunta": "proyecto estado bloqueante created", "reunion": "proyecto fecha", "sistema": "owner categoria estado",
+}
+_ALLOWED = {
+    ("documentos", "classification"): "public internal confidential restricted", ("documentos", "status"): "draft stable deprecated", ("documentos", "procedencia"): "fuente dialogo inferido manual derivado", ("decision", "estado"): "propuesta aceptada",
+    ("diagrama", "clase"): "flujo proceso secuencia entidades organizacion arquitectura cronograma otro", ("iniciativa", "origen"): "proyecto-asignado objetivo-personal objetivo-equipo", ("iniciativa", "estado"): "iniciando en-progreso bloqueada entregada", ("insumo", "formato"): "pdf docx pptx xlsx html yaml",
+    ("lineamiento", "estado"): "aprobado en-revision", ("plan", "source_of_truth"): "cerebro externa", ("pregunta", "estado"): "abierta en-progreso respondida", ("sistema", "categoria"): "sistema herramienta producto proceso", ("sistema", "estado"): "activo en-cambio deprecado",
+}
+_key = lambda t: "path" if t == "documentos" else "doc"
+
+_PEOPLE = " union all ".join(
+    [f"select doc, '{f}' field, {f} v from {t}" for t, f in (("pregunta", "responsable"), ("pregunta", "respondida_por"), ("sistema", "owner"), ("persona", "reports_to"))]
+    + [f"select doc, '{f}', value from {t}" for t, f in (("decision_decisores", "decisores"), ("iniciativa_personas", "personas"), ("reunion_asistentes", "asistentes"))]
+)
+_RULES = {
+    "rule_v15": "select path, stale_after what from documentos where coalesce(status, 'stable') = 'stable' and try_cast(stale_after as timestamptz) < timestamptz '{ahora}'",
+    "rule_v16": "select path, 'below the floor' what from documentos where case classification when 'public' then 1 when 'internal' then 2 when 'confidential' then 3 else 4 end < case when type in ('Persona', 'Insumo') then 3 else 2 end",
+    "rule_v20": "select doc as path, proyecto what from documento_proyecto where proyecto <> 'transversal' and proyecto not in (select proyecto from iniciativa)",
+    "rule_v21": "select doc as path, periodo what from iniciativa where not regexp_full_match(periodo, '[0-9]{{4}}-(Q[1-4]|0[1-9]|1[0-2]|S[0-9]{{2}})')",
+    "rule_v24": "select doc as path, 'inverted' what from vigencia where valido_hasta < valido_desde union all select doc, 'no end' from vigencia where reemplazada_por is not null and valido_hasta is null union all select a.doc, 'cycle' from vigencia a where exists (select 1 from vigencia b where '/' || b.doc = a.reemplazada_por and b.reemplazada_por = '/' || a.doc)",
+    "rule_v25": "select path, type what from documentos where procedencia = 'fuente' and path not in (select doc from documentos_sources) and path not in (select doc from insumo where trim(original) <> '')",
+    "rule_v07": "select doc as path, 'respondida_por' what from pregunta where estado = 'respondida' and coalesce(trim(respondida_por), '') = '' union all select doc, 'external_tracker' from plan where source_of_truth = 'externa' and coalesce(trim(external_tracker), '') = ''",
+}
+_FOUND = " union all ".join(f"select '{r[5:].upper()}' as \"check\", path, what from ({sql})" for r, sql in _RULES.items())
+
+QUERIES |= _RULES | {
+    "chk_not_null": " union all ".join(f"select 'not_null' as \"check\", '{t}' tabla, '{c}' columna, {_key(t)} doc from {t} where {c} is null" for t, cs in _NEEDED.items() for c in cs.split()),
+    "chk_enum": " union all ".join(f"select 'enum' as \"check\", '{t}' tabla, '{c}' columna, {_key(t)} doc from {t} where {c} not in ({', '.join(map(repr, vs.split()))})" for (t, c), vs in _ALLOWED.items()),
+    "chk_pk": " union all ".join([f"select 'pk' as \"check\", '{t}' tabla, '{_key(t)}' columna, {_key(t)} doc from {t} group by {_key(t)} having count(*) > 1" for t in ["documentos", *_TYPE_TABLES]] + [f"select 'pk', '{t}', 'idx', doc from {t} group by doc, idx having count(*) > 1" for t in _CHILDREN]),
+    "chk_unique": "select 'unique' as \"check\", 'iniciativa' tabla, 'proyecto' columna, doc from iniciativa a where exists (select 1 from iniciativa b where b.proyecto = a.proyecto and b.doc < a.doc)",
+    "chk_fk": " union all ".join([f"select 'fk' as \"check\", '{t}' tabla, 'doc' columna, doc from {t} where doc not in (select path from documentos)" for t in _TYPE_TABLES] + [f"select 'fk', '{t}', 'doc', doc from {t} where doc not in (select {_key(p)} from {p})" for t, p in _CHILDREN.items()]),
+    "fts_match": "select path from palabras where list_contains(w, '{termino}')",
+    "fts_prefix": "select path from palabras where len(list_filter(w, lambda x: starts_with(x, 'urg'))) > 0",
+    "fts_column": f"select path from todo where list_contains({_TOKENS.format('title').replace('{', '{{').replace('}', '}}')}, 'pregunta') and path not in (select path from palabras where list_contains(w, 'urgent'))",
+    "fts_phrase": "select path from todo where " + " or ".join(f"contains(' ' || array_to_string({_TOKENS.format(c).replace('{', '{{').replace('}', '}}')}, ' ') || ' ', ' of the ')" for c in ("title", "description", "resumen", "cuerpo")),
+    "fts_topk": f"select path, round(relevancia, 6) relevancia from ({_bm25('{termino}')}) order by round(relevancia, 9), path limit 10",
+    "fts_terms": f"select term, count(distinct path) docs, count(*) tf from (select path, unnest(list_concat({_TOKENS.format('title').replace('{', '{{').replace('}', '}}')}, {_TOKENS.format('description').replace('{', '{{').replace('}', '}}')})) term from documentos) group by term",
+    "rule_v17": f"select field, state, count(*) n from (select field, case when v not like '/%' then 'free text' when type is null then 'missing' when type <> 'Persona' then type end state from ({_PEOPLE}) left join documentos on path = substr(v, 2) and v like '/%' where trim(v) <> '') where state is not null group by field, state",
+    "rule_v26": "select linea, citados, completos from consultas where citados > completos",
+    "gov_classification_mix": "select type, classification, n, cast(floor(100 * n / sum(n) over (partition by type)) as bigint) pct from (select type, classification, count(*) n from documentos group by type, classification)",
+    "gov_trust": "select count(*) documents, count(*) filter (ok) confirmed, count(*) filter (agent) by_agents, count(*) filter (agent and not ok) by_agents_unconfirmed from (select path in (select doc from documentos_verified where \"by\" ilike 'human:%') ok, coalesce(generated_by not ilike 'human:%', false) agent from documentos)",
+    "gov_lifecycle": "select coalesce(status, '-') status, count(*) n, count(*) filter (stale_after < '{ahora}') stale from documentos group by 1",
+    "findings_summary": f"select \"check\", count(*) n from ({_FOUND}) group by 1",
+    "findings_top_n": f"select \"check\", rank, path, what, greatest(n - 8, 0) more from (select *, row_number() over (partition by \"check\" order by path, what) rank, count(*) over (partition by \"check\") n from ({_FOUND})) where rank <= 8",
+    "derive_open_questions": "select '[' || d.title || '](/' || q.doc || ')' pregunta, q.proyecto, coalesce(o.title, trim(responsable), '') responsable, bloqueante, date_diff('day', cast(created as date), date '{hoy}') dias from pregunta q join documentos d on d.path = q.doc left join documentos o on o.path = ltrim(trim(responsable), '/') where estado = 'abierta'",
+    "derive_goals_grouped": "select g, origen, row_number() over (partition by g order by periodo, title, doc) pos, title, periodo, estado from (select *, coalesce(list_position(['proyecto-asignado', 'objetivo-personal', 'objetivo-equipo'], origen), 99) g from iniciativa, documentos where path = doc)",
+    "derive_org_nodes": "select regexp_replace(doc, '[^A-Za-z0-9_]', '_', 'g') id, title, rol from persona, documentos where path = doc",
+    "derive_org_edges": "select regexp_replace(a.doc, '[^A-Za-z0-9_]', '_', 'g') a, regexp_replace(b.doc, '[^A-Za-z0-9_]', '_', 'g') b from persona a join persona b on b.doc = ltrim(a.reports_to, '/')",
+    "derive_org_gaps": "select doc, title from persona, documentos where path = doc and coalesce(trim(reports_to), '') = ''",
+    "index_by_directory": """select l.dir, docs, coalesce(subdirs, 0) subdirs, digest from (select dir, count(*) docs, md5(string_agg('* [' || title || '](' || file || ') - ' || description, chr(10) order by file)) digest from (select regexp_extract(path, '^(.*)/[^/]*$', 1) dir, split_part(path, '/', -1) file, title, description from documentos) group by dir) l
+        left join (select regexp_extract(dir, '^(.*)/[^/]*$', 1) dir, count(*) subdirs from (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) dir from documentos) group by 1) b on b.dir = l.dir""",
+    "survey_types": "select type, count(*) n, sum(length(cuerpo) // 4) tokens from todo group by type",
+    "survey_totals": "select count(*) docs, sum(length(cuerpo) // 4) tokens, max(length(cuerpo) // 4) largest, max(len(string_split(path, '/'))) depth from todo",
+    "survey_cost": "select sum(2 * t) derived, sum(t) filter (r <= 5) top5, count(*) docs, case when count(*) < 200 then 'unreliable' else 'measured' end verdict from (select length(cuerpo) // 4 t, row_number() over (order by length(cuerpo) // 4 desc, path) r from todo)",
+    "survey_link_classes": "select case when contains(l, '://') then 'external' when path is not null then 'bundle' when l like '/%' then 'missing' else 'relative' end kind, count(*) n from (select trim(resource) l from documentos_sources union all select reemplazada_por from decision union all select reemplazada_por from lineamiento) left join documentos on '/' || path = l where l <> '' group by 1",
+    "content_sha256": "select path, sha256(cuerpo) sha256 from todo",
+    "place_documents": """select type, regexp_full_match(regexp_extract(path, '^(.*)/[^/]*$', 1), case type when 'Iniciativa' then '01-proyectos/[^/]+' when 'Plan' then '01-proyectos/[^/]+' when 'Insumo' then '01-proyectos/[^/]+/00-insumos' when 'Reunion' then '01-proyectos/[^/]+/01-reuniones' when 'Decision' then '01-proyectos/[^/]+/02-decisiones'
+        when 'Analisis' then '01-proyectos/[^/]+/03-analisis' when 'Pregunta' then '01-proyectos/[^/]+/04-preguntas' when 'Diagrama' then '01-proyectos/[^/]+/05-diagramas' when 'Persona' then '02-areas/personas' when 'Lineamiento' then '02-areas/[^/]+' when 'Sistema' then '03-recursos/sistemas' when 'Playbook' then '03-recursos/playbooks' else '03-recursos/glosario' end) placed, count(*) n from documentos group by 1, 2""",
+}
