@@ -144,7 +144,7 @@ def train(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "la
     return Network(names).fit(x, y).folded()
 
 
-def _predicted(text: str, keep: list[str], network) -> Callable:
+def _predicted(text: str, keep: list[str], network, names: tuple[str, str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = network.value
         for batch in batches:
@@ -160,19 +160,19 @@ def _predicted(text: str, keep: list[str], network) -> Callable:
                     q = np.concatenate([net.probabilities(x[a : a + 2_000]) for a in range(0, len(x), 2_000)])
                     total = np.stack([np.bincount(row, q[:, c] * size, n) for c in range(len(net.names))], 1) / np.maximum(np.diff(at), 1)[:, None]
                     best, score = np.where(named, total.argmax(1), -1), np.where(named, np.clip(total.max(1), 0, 1), 0.0)
-                names = pa.array([net.names[b] if b >= 0 else UNKNOWN for b in best.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(i, n) for c in keep), names, pa.array(score)], names=[*keep, "lang_pred", "score"])
+                found = pa.array([net.names[b] if b >= 0 else UNKNOWN for b in best.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(i, n) for c in keep), found, pa.array(score)], names=[*keep, *names])
 
     return run
 
 
-def predict(docs: DataFrame, network: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, network: Network | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The kept columns of docs (all by default) with lang_pred and score, the mean probability of that language.
 
     A null text or one without a letter is `und` with score 0, as is every text if there is no network. Ties go to the
-    name that sorts first. Columns of docs that are called lang_pred or score must not be among those kept.
+    name that sorts first. names are those of the two new columns, and must not be among the kept ones.
     """
     keep = docs.columns if keep is None else keep
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     need = list(dict.fromkeys([*keep, text]))
-    return docs.select(*need).mapInArrow(_predicted(text, keep, docs.sparkSession.sparkContext.broadcast(network)), schema)
+    return docs.select(*need).mapInArrow(_predicted(text, keep, docs.sparkSession.sparkContext.broadcast(network), names), schema)
