@@ -6,19 +6,22 @@ rarest n-grams, so each set is listed under a short prefix of them alone.
 * Rare first. The order is by a count sketch of all documents, ties by hash. The sketch has a fixed size (`SLOTS` counters, so
   a fixed broadcast); its errors change only how short the lists are, never what is found, as any order that all
   documents share gives whole results.
-* Length, position and suffix filters drop pairs before they are compared. The suffix filter's bound on the symmetric
-  difference comes from how many n-grams each set has in each of 16 fixed parts of the hash range.
-* Each remaining pair is compared once, on its whole sets.
-* Equal sets are one class from the start, so copies never meet as pairs. In a list of over `LIST_LIMIT` classes, each
-  class is first compared with the leaders of its length band; only classes still in different groups after that
-  are compared with each other, in blocks of bounded size. So a large group of near copies costs in proportion to its size,
-  and no link that would join two groups is lost.
+* Length and position filters drop pairs under a shared n-gram, the suffix filter drops pairs before they are compared: each class has
+  a signature of `SIGN_BITS` bits, bit i the parity of how many of its n-grams fall to part i of the hash range, and two
+  signatures never differ in more bits than the sets differ in n-grams.
+* Each remaining pair is compared once, on its whole sets: first those with the first class of a list, then those whose classes
+  are not in one group by then.
+* Equal sets are one class from the start, so copies never meet as pairs. In a list of over `LIST_LIMIT` classes, first each
+  class meets the one nearest to what most signatures of its block and length band have; then, while groups still join, the nearest
+  class of another group; at last all classes of other groups that the filters leave. Lists are dealt in blocks of `BLOCK`.
+  So a large group of near copies costs in proportion to its size, and no link that would join two groups is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -30,11 +33,13 @@ from pyspark.sql import types as T
 from .common import saved, shingle_sets, steps
 from .graph import components
 
-SLOTS, PARTS = 1 << 20, 16
+SLOTS, SIGN_BITS = 1 << 20, 512
 #: Lists up to this length give all their pairs at once.
 LIST_LIMIT = 24
 #: Postings for each bucket of the join, and classes in a block of a long list.
 BUCKET, BLOCK = 400_000, 2_000
+#: Rounds of meeting the nearest class of another group, at most.
+NEAREST_ROUNDS = 3
 #: Bits of the map that says which classes take part in a comparison.
 MAP_BITS = 1 << 24
 
@@ -75,22 +80,24 @@ def _describe(text: str, key: str, k: int) -> Callable:
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
             for i, j, data, at in steps(batch.column(batch.schema.get_field_index(text))):
-                n, cid, new = [], [], []
+                n, cid, new, sign = [], [], [], []
                 for u in shingle_sets(data, at, k):
                     n.append(len(u))
                     c = _key(u) if len(u) else None
                     cid.append(c)
+                    sign.append(_sign(u))
                     if c is not None and c not in seen:
                         seen.add(c)
                         new.append(u)
                 if new:
                     counts += np.bincount((np.concatenate(new) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
                 m = j - i
-                yield pa.RecordBatch.from_arrays([keys.slice(i, m), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=[key, "n", "cid", "seg", "blob"])
+                signs = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * WORDS, pa.int32()), pa.array(np.concatenate(sign).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([keys.slice(i, m), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), signs, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=[key, "n", "cid", "sign", "seg", "blob"])
         for s in range(SEGMENTS):
             part = counts[s << 16 : (s + 1) << 16]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, keys.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([_pack(part)], pa.binary())], names=[key, "n", "cid", "seg", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, keys.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([s], pa.int32()), pa.array([_pack(part)], pa.binary())], names=[key, "n", "cid", "sign", "seg", "blob"])
 
     return run
 
@@ -116,11 +123,13 @@ def _sketch(described: DataFrame) -> np.ndarray:
 
 # ---------------------------------------------------------------- postings
 
-_POSTING = np.dtype([("h", np.uint64), ("cid", np.int64), ("n", np.uint32), ("pos", np.uint32), ("parts", np.uint8, PARTS)])
+_POSTING = np.dtype([("h", np.uint64), ("cid", np.int64), ("n", np.uint32), ("pos", np.uint32)])
+WORDS = SIGN_BITS // 64
 
 
-def _parts(u: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((u >> np.uint64(60)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8)
+def _sign(u: np.ndarray) -> np.ndarray:
+    part = np.bincount((u >> np.uint64(64 - SIGN_BITS.bit_length() + 1)).astype(np.int64), minlength=SIGN_BITS)
+    return np.packbits((part & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def _list_prefixes(text: str, k: int, num: int, den: int, sketch, buckets: int) -> Callable:
@@ -153,7 +162,7 @@ def _list_prefixes(text: str, k: int, num: int, den: int, sketch, buckets: int)
                         p["h"] = u[few[np.argsort(often[few], kind="stable")[: len(p)]]]
                     else:
                         p["h"] = u[np.argsort(often, kind="stable")[: len(p)]]
-                    p["cid"], p["n"], p["pos"], p["parts"] = c, n, np.arange(len(p)), _parts(u)
+                    p["cid"], p["n"], p["pos"] = c, n, np.arange(len(p))
                     held.append(p)
                 if held and sum(map(len, held)) > 200_000:
                     yield out()
@@ -164,7 +173,7 @@ def _list_prefixes(text: str, k: int, num: int, den: int, sketch, buckets: int)
 
 
 def _survivors(p: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of postings i, j under one n-gram that length, position and suffix leave."""
+    """The pairs of postings i, j under one n-gram that length and position leave."""
     n, m = p["n"][i].astype(np.int64), p["n"][j].astype(np.int64)
     ok = np.minimum(n, m) * den >= np.maximum(n, m) * num
     i, j, n, m = i[ok], j[ok], n[ok], m[ok]
@@ -172,11 +181,6 @@ def _survivors(p: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int)
     # the n-gram at these positions need not be the first that both share, so those before it may be common too
     a, b = p["pos"][i].astype(np.int64), p["pos"][j].astype(np.int64)
     ok = np.minimum(a, b) + 1 + np.minimum(n - a - 1, m - b - 1) >= need
-    i, j, n, m, need = i[ok], j[ok], n[ok], m[ok], need[ok]
-    apart = np.zeros(len(i), np.int64)
-    for x in range(PARTS):
-        apart += np.abs(p["parts"][i, x].astype(np.int64) - p["parts"][j, x].astype(np.int64))
-    ok = apart <= n + m - 2 * need
     return i[ok], j[ok]
 
 
@@ -185,11 +189,11 @@ def _pairs_frame(p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
 
-_CANDIDATES = "a long, b long, h long, cid long, n int, pos int, parts binary"
+_CANDIDATES = "a long, b long, lead boolean, h long, cid long, n int, pos int"
 
 
 def _first_pairs(num: int, den: int) -> Callable:
-    step = log(den / num)
+    """The pairs of short lists, `lead` if with the list's first class, and the rows of long ones."""
 
     def run(group: pa.Table) -> pa.Table:
         p = np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for x in group["blob"]])
@@ -199,47 +203,92 @@ def _first_pairs(num: int, den: int) -> Callable:
         p = p[keep]
         first = np.flatnonzero(np.concatenate([[True], p["h"][1:] != p["h"][:-1]]))
         size = np.diff(np.concatenate([first, [len(p)]]))
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros((0, 3), np.int64)]
         for m in range(2, LIST_LIMIT + 1):
             at = first[size == m]
             if len(at):
                 x, y = np.triu_indices(m, 1)
                 for part in np.array_split(at, -(-len(at) * len(x) // 500_000)):
-                    found.append(_pairs_frame(p, *_survivors(p, (part[:, None] + x).ravel(), (part[:, None] + y).ravel(), num, den)))
+                    i, j = _survivors(p, (part[:, None] + x).ravel(), (part[:, None] + y).ravel(), num, den)
+                    found.append(np.column_stack([_pairs_frame(p, i, j), (i > 0) & (p["h"][i] == p["h"][i - 1])]))  # 0 if i begins its list
         long = [np.arange(f, f + m) for f, m in zip(first[size > LIST_LIMIT], size[size > LIST_LIMIT], strict=True)]
-        for at in long:
-            band = (np.log(p["n"][at]) / step).astype(np.int64)
-            leader = {b: at[x] for b, x in zip(*np.unique(band, return_index=True), strict=True)}
-            for off in (0, 1):
-                lead = np.array([leader.get(b - off, -1) for b in band.tolist()])
-                ok = (lead >= 0) & (lead != at)
-                found.append(_pairs_frame(p, *_survivors(p, lead[ok], at[ok], num, den)))
-        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = np.unique(np.concatenate(found), axis=0)  # sorted: of a pair's rows one with 0 comes first
+        pairs = pairs[np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])] if len(pairs) else pairs
         rest = p[np.concatenate(long)] if long else p[:0]
         none = pa.nulls
         ends = lambda x: pa.chunked_array([pa.array(x, pa.int64()), none(len(rest), pa.int64())])
         tail = lambda x, kind: pa.chunked_array([none(len(pairs), kind), pa.array(x, kind)])
-        out = [ends(pairs[:, 0]), ends(pairs[:, 1]), tail(rest["h"].astype(np.int64), pa.int64()), tail(rest["cid"], pa.int64()), tail(rest["n"].astype(np.int32), pa.int32()), tail(rest["pos"].astype(np.int32), pa.int32()), tail([x.tobytes() for x in rest["parts"]], pa.binary())]
-        return pa.Table.from_arrays(out, names=["a", "b", "h", "cid", "n", "pos", "parts"])
+        lead = pa.chunked_array([pa.array(pairs[:, 2] == 0), none(len(rest), pa.bool_())])
+        out = [ends(pairs[:, 0]), ends(pairs[:, 1]), lead, tail(rest["h"].astype(np.int64), pa.int64()), tail(rest["cid"], pa.int64()), tail(rest["n"].astype(np.int32), pa.int32()), tail(rest["pos"].astype(np.int32), pa.int32())]
+        return pa.Table.from_arrays(out, names=["a", "b", "lead", "h", "cid", "n", "pos"])
+
+    return run
+
+
+def _block(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    group = group.sort_by("cid").combine_chunks()
+    p = np.zeros(len(group), _POSTING)
+    p["cid"], p["n"], p["pos"] = group["cid"], group["n"], group["pos"]
+    return group, p, group["sign"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def _near(p: np.ndarray, sign: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that all filters leave, and in how many bits their signatures differ."""
+    i, j = _survivors(p, i, j, num, den)
+    n, m = p["n"][i].astype(np.int64), p["n"][j].astype(np.int64)
+    apart = np.bitwise_count(sign[i] ^ sign[j]).sum(1).astype(np.int64)
+    ok = apart <= n + m - 2 * _least_common(n, m, num, den)
+    return i[ok], j[ok], apart[ok]
+
+
+def _as_table(found: list[np.ndarray]) -> pa.Table:
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _central_pairs(num: int, den: int) -> Callable:
+    """Each class of a block with the central one of its length band, and of the band below."""
+    step = log(den / num)
+
+    def run(group: pa.Table) -> pa.Table:
+        _, p, sign = _block(group)
+        bits = np.unpackbits(sign.view(np.uint8), axis=1, bitorder="little")
+        band = (np.log(p["n"]) / step).astype(np.int64)
+        found = []
+        for b in np.unique(band).tolist():
+            own = np.flatnonzero(band == b)
+            most = bits[own].mean(0) > 0.5
+            lead = own[(bits[own] != most).sum(1).argmin()]
+            other = np.flatnonzero((band == b) | (band == b + 1))
+            other = other[other != lead]
+            i, j, _ = _near(p, sign, np.full(len(other), lead), other, num, den)
+            found.append(_pairs_frame(p, i, j))
+        return _as_table(found)
 
     return run
 
 
-def _block_pairs(num: int, den: int) -> Callable:
+def _cross_pairs(num: int, den: int, nearest: bool) -> Callable:
+    """Pairs of classes from different groups in two blocks of a list (side -1 and 1) or in one (0): of each class of the first with
+    its nearest only, or all that the filters leave."""
+
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("cid")
-        p = np.zeros(len(group), _POSTING)
-        p["cid"], p["n"], p["pos"] = group["cid"], group["n"], group["pos"]
-        p["parts"] = np.frombuffer(b"".join(group["parts"].to_pylist()), np.uint8).reshape(-1, PARTS)
+        group, p, sign = _block(group)
         side, comp = group["side"].to_numpy(), group["comp"].to_numpy()
-        found = [np.zeros((0, 2), np.int64)]
+        found = []
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         for part in np.array_split(left, max(1, -(-len(left) * len(right) // 500_000))):
-            i, j = np.repeat(part, len(right)), np.tile(right, len(part))
-            ok = (comp[i] != comp[j]) & ((side[i] != 0) | (i < j))
-            found.append(_pairs_frame(p, *_survivors(p, i[ok], j[ok], num, den)))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            x, y = np.nonzero(comp[part][:, None] != comp[right][None, :])
+            i, j = part[x], right[y]
+            ok = (side[i] != 0) | (i < j)
+            i, j, apart = _near(p, sign, i[ok], j[ok], num, den)
+            if nearest and len(i):
+                order = np.lexsort((j, apart, i))
+                i, j = i[order], j[order]
+                first = np.concatenate([[True], i[1:] != i[:-1]])
+                i, j = i[first], j[first]
+            found.append(_pairs_frame(p, i, j))
+        return _as_table(found)
 
     return run
 
@@ -304,33 +353,65 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = docs.select(key, text)
-    fields = [docs.schema[key], T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("seg", T.IntegerType()), T.StructField("blob", T.BinaryType())]
+    fields = [docs.schema[key], T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("seg", T.IntegerType()), T.StructField("blob", T.BinaryType())]
     described = saved(docs.mapInArrow(_describe(text, key, k), T.StructType([T.StructField(f.name, f.dataType) for f in fields])), "sets")
     rows = described.filter("seg is null").select(key, "n", "cid")
+    classes = described.filter("cid is not null").select("cid", "n", "sign").dropDuplicates(["cid"])
     listed = rows.agg(F.sum(F.col("n") * (1 - num / den) + 1)).first()[0] or 0
     buckets = max(16, ceil(listed / BUCKET))
     postings = docs.select(text).mapInArrow(_list_prefixes(text, k, num, den, sc.broadcast(_sketch(described)), buckets), "bucket int, blob binary")
     found = saved(postings.groupBy("bucket").applyInArrow(_first_pairs(num, den), _CANDIDATES), "candidates")
-    pairs = found.filter("a is not null").select("a", "b").distinct()
-    links = saved(_verify(docs, pairs, text, k, num, den), "links")
-    roots = components(links)
-    long = found.filter("h is not null").select("h", "cid", "n", "pos", "parts")
-    if not long.isEmpty():
-        long = long.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-        open_lists = long.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-        dealt = long.join(open_lists.select("h", blocks.alias("blocks")), "h").withColumn("own", own)
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("side", F.signum(F.col("own") - F.col("other")).cast("int"))
-        dealt = dealt.select("h", "cid", "n", "pos", "parts", "comp", "side", F.least("own", "other").alias("s1"), F.greatest("own", "other").alias("s2"))
-        more = dealt.groupBy("h", "s1", "s2").applyInArrow(_block_pairs(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = saved(more, "candidates")
-        if not more.isEmpty():
-            links = links.unionByName(_verify(docs, more, text, k, num, den))
+    pairs = _suffix_filtered(found.filter("a is not null").groupBy("a", "b").agg(F.max("lead").alias("lead")), classes, num, den)
+    pairs = saved(pairs, "pairs")
+    done, other = pairs.filter("lead").select("a", "b"), pairs.filter("not lead").select("a", "b")
+    long = found.filter("h is not null").select("h", "cid", "n", "pos")
+    any_long = not long.isEmpty()
+    if any_long:
+        sizes = long.groupBy("h").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+        long = long.join(classes.select("cid", "sign"), "cid").join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        long = saved(long, "lists")
+        central = long.groupBy("h", "own").applyInArrow(_central_pairs(num, den), "a long, b long")
+        done = saved(done.unionByName(central).distinct(), "pairs")
+    links = saved(_verify(docs, done, text, k, num, den), "links")
+    roots, rounds, first = components(links), 0 if any_long else NEAREST_ROUNDS, True
+    while rounds <= NEAREST_ROUNDS:  # the last one leaves nothing out
+        parts = [_apart(other, roots)] * first + [_between(long, roots, num, den, nearest=rounds < NEAREST_ROUNDS) for _ in range(any_long)]
+        tried, first = saved(reduce(DataFrame.unionByName, parts).distinct(), "pairs"), False
+        if tried.isEmpty():  # nor would the last round find a pair
+            break
+        more = saved(tried.join(done, ["a", "b"], "left_anti"), "pairs")
+        new = saved(_verify(docs, more, text, k, num, den), "links") if not more.isEmpty() else more
+        done = done.unionByName(more)
+        if new.isEmpty():
+            rounds = max(rounds + 1, NEAREST_ROUNDS)
+        else:
+            links, rounds = links.unionByName(new), rounds + 1
             roots = components(links)
     named = rows.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.filter("cid is not null").groupBy("root").agg(F.min(key).alias("least"))
     # a row without a set is its own group: no root to look up
     alone = named.filter("cid is null").select(key, F.col("n").alias("n_shingles"), "cid", F.col(key).alias("component_id"))
     return named.filter("cid is not null").join(least, "root").select(key, F.col("n").alias("n_shingles"), "cid", F.col("least").alias("component_id")).unionByName(alone)
+
+
+def _suffix_filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    x, y = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c in "ab")
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WORDS)), F.lit(0))
+    need = F.expr(f"({num} * (na + nb) + {den + num - 1}) div {den + num}")
+    return pairs.join(x, "a").join(y, "b").filter(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "lead")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different groups yet."""
+    x, y = (roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _between(long: DataFrame, roots: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Pairs of classes that share a long list and are in different groups yet."""
+    long = long.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+    still = long.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+    dealt = long.join(still, "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("side", F.signum(F.col("own") - F.col("other")).cast("int"))
+    dealt = dealt.select("h", "cid", "n", "pos", "sign", "comp", "side", F.least("own", "other").alias("s1"), F.greatest("own", "other").alias("s2"))
+    return dealt.groupBy("h", "s1", "s2").applyInArrow(_cross_pairs(num, den, nearest), "a long, b long").distinct()
