@@ -126,7 +126,8 @@ def _neighbours(docs: DataFrame, key: str) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row for each row of docs: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    and the next document's key and n_chars.
 
     The next document follows by descending key, after the last the first; equal keys go by the hash of their text, rows that
     repeat in key and text follow each other, null keys come last. The last floor(n / 2) code points of a text are replaced by the first
@@ -141,16 +142,20 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     if near.filter("copies > 1").limit(1).count():
         texts = texts.dropDuplicates(["tag"])
     full = texts.join(near, "tag").withColumn("f", fingerprint(units(F.col("t"))))
-    heads = full.select(F.col("before").alias("tag"), F.substring(F.col("t"), F.lit(1), F.floor(F.col("before_n") / 2).cast("int")).alias("head"), F.col("f").alias("next_f"))
+    # both sides of the join below read the same columns of texts, so that its exchange is made once
+    heads = full.select(F.col("before").alias("tag"), F.col("id").alias("next_id"), F.col("n").alias("next_n_chars"), F.substring(F.col("t"), F.lit(1), F.floor(F.col("before_n") / 2).cast("int")).alias("head"), F.col("f").alias("next_f"))
     cur = full.select("tag", "id", "t", "n", "copies", "f").join(heads, "tag")
     half = F.floor(F.col("n") / 2).cast("int")
     # all copies of a row but the last are followed by the row itself
     cur = cur.withColumn("last", F.explode(F.expr("if(copies > 1, concat(array_repeat(false, int(copies) - 1), array(true)), array(true))")))
     cur = cur.withColumn("head", F.when(F.col("last"), F.col("head")).otherwise(F.substring(F.col("t"), F.lit(1), half)))
     cur = cur.withColumn("next_f", F.when(F.col("last"), F.col("next_f")).otherwise(F.col("f")))
+    for name, own in (("next_id", "id"), ("next_n_chars", "n")):
+        cur = cur.withColumn(name, F.when(F.col("last"), F.col(name)).otherwise(F.col(own)))
     cur = cur.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n") - half).cast("int")), F.col("head")))
     cur = cur.withColumn("edited_f", fingerprint(units(F.col("edited"))))
     return cur.select(
         F.col("id").alias(key), F.col("n").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), hexadecimal(F.col("f")).alias("fingerprint"), hexadecimal(F.col("edited_f")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("edited_f")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
+        F.col("next_id").alias(f"next_{key}"), "next_n_chars",
     )
