@@ -5,10 +5,10 @@ Reading a count is a chain of membership probes that ends at the first pair that
 a count, with a chance that halves (or better) at each step. The filter holds words and pairs of words, with the marks of
 begin and end.
 
-Size. The filter has `BITS_PER_TOKEN` bits for each training token, from `LEAST_BITS` to `MOST_BITS` (64 MB, the proven
-bound of the broadcast). It is cut into segments by hash; each is built in one task from about `SEGMENT_TOKENS` tokens'
-n-grams, so tasks stay alike at any size. A segment that would be more than half full starts at a higher quantised count: n-grams
-below read as unseen there, and the error rate stays what it was. All n-grams are counted before that is decided.
+Size. The filter is cut into segments by hash; each is built in one task from about `SEGMENT_TOKENS` tokens' n-grams, so
+tasks stay alike at any size. A segment has as many bits as its counted n-grams need to leave it 30 % full. Up to `MOST_BITS`
+(64 MB, the proven bound of the broadcast) all n-grams are held; a segment that would pass its share of that starts at a higher
+quantised count: n-grams below read as unseen there, and the error rate stays what it was.
 
 The exact counts never go to the driver or a broadcast as a whole: the `HEAD` most frequent words at most are broadcast;
 the others of a text are joined with the table of counts.
@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 
 from .common import fold, mix, saved, steps, words
 
-BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 6, 1 << 20, 1 << 29
+MOST_BITS = 1 << 29
+#: Bits to set for each bit of a segment: 30 % of its bits are set then, and an n-gram passes a level that it lacks with a chance of 9 %.
+FULL = 0.35
 SEGMENT_TOKENS, LEAST_SEGMENTS = 1_000_000, 64
 PROBES = 2
 HEAD = 1 << 19
@@ -122,14 +124,17 @@ def _ngrams(text: str, held_out: str, segments: int) -> Callable:
 
 
 def _positions(low: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    return mix(low + np.uint64(level * 2 + probe << 48)) & np.uint64(bits - 1)
+    """bits: of the segment, or of each key's; under 2**32."""
+    return (mix(low + np.uint64(level * 2 + probe << 48)) >> np.uint64(32)) * np.asarray(bits, np.uint64) >> np.uint64(32)
 
 
 def _levels(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(c)).astype(np.int64)
 
 
-def _built(bits: int) -> Callable:
+def _built(least: int = 64, most: int = 1 << 31) -> Callable:
+    """Segments of as many bits as their n-grams need, least at least and most at most."""
+
     def run(group: pa.Table) -> pa.Table:
         low, count = [], []
         for x in group["blob"]:
@@ -143,7 +148,8 @@ def _built(bits: int) -> Callable:
         q = _levels(np.bincount(which, np.concatenate(count)))
         above = np.cumsum(np.bincount(q)[::-1])[::-1]  # how many have a level
         pairs = np.cumsum(above[::-1])[::-1] * PROBES  # bits to set from a level on
-        start = next((j for j in range(1, len(pairs)) if pairs[j] <= 0.69 * bits), len(pairs))
+        bits = min(most, max(least, 64 * ceil(pairs[1] / FULL / 64)))
+        start = next((j for j in range(1, len(pairs)) if pairs[j] <= FULL * bits), len(pairs))
         have = np.zeros(bits, bool)
         for j in range(start, len(above)):
             k = keys[q >= j]
@@ -155,12 +161,13 @@ def _built(bits: int) -> Callable:
 
 
 class Filter:
-    """The filter as workers hold it: one byte array, and the first level of each segment."""
+    """The filter as workers hold it: one byte array, the bits of each segment and where they begin, and the first level of each."""
 
-    def __init__(self, segments: int, bits: int):
-        self.segments, self.bits = segments, bits
+    def __init__(self, segments: int, bits: int | np.ndarray):
+        self.segments, self.bits = segments, np.broadcast_to(np.asarray(bits, np.int64), segments)
+        self.at = np.concatenate([[0], np.cumsum(self.bits)])
         self.start = np.ones(segments, np.int64)
-        self.have = np.zeros(segments * (bits >> 3), np.uint8)
+        self.have = np.zeros(self.at[-1] >> 3, np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The quantised counts, as the middle of what they stand for."""
@@ -174,7 +181,7 @@ class Filter:
             late = first[alive] > j
             go = alive[~late]
             for i in range(PROBES):
-                p = seg[go] * self.bits + _positions(low[go], j, i, self.bits).astype(np.int64)
+                p = self.at[seg[go]] + _positions(low[go], j, i, self.bits[seg[go]]).astype(np.int64)
                 go = go[(self.have[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
             level[go] = j
             alive = np.concatenate([go, alive[late]])
@@ -248,13 +255,16 @@ def lm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id"
     order = np.argsort(h)
 
     segments = max(LEAST_SEGMENTS, 1 << ceil(log2(max(1, total / SEGMENT_TOKENS))))
-    bits = max(64, (1 << int(log2(min(MOST_BITS, max(LEAST_BITS, BITS_PER_TOKEN * total))))) // segments)
-    filt = Filter(segments, bits)
     parts = docs.select("held_out", text).mapInArrow(_ngrams(text, "held_out", segments), "segment int, blob binary")
-    built = parts.groupBy("segment").applyInArrow(_built(bits), "segment int, start int, ngrams long, bits binary")
-    for r in saved(built, "filter").toLocalIterator():  # segments * bits in all: MOST_BITS at most
+    built = parts.groupBy("segment").applyInArrow(_built(most=MOST_BITS // segments), "segment int, start int, ngrams long, bits binary")
+    built = saved(built, "filter")
+    bits = np.zeros(segments, np.int64)
+    for r in built.select("segment", (F.length("bits") * 8).alias("n")).toLocalIterator():
+        bits[r.segment] = r.n
+    filt = Filter(segments, bits)
+    for r in built.toLocalIterator():  # MOST_BITS at most in all
         filt.start[r.segment] = r.start
-        filt.have[r.segment * (bits >> 3) : (r.segment + 1) * (bits >> 3)] = np.frombuffer(r.bits, np.uint8)
+        filt.have[filt.at[r.segment] >> 3 : filt.at[r.segment + 1] >> 3] = np.frombuffer(r.bits, np.uint8)
 
     out = T.StructType([T.StructField("rid", T.LongType()), T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t()) for n, t in (("held_out", T.BooleanType), ("n_tokens", T.LongType), ("n_head", T.LongType), ("log_head", T.DoubleType), ("score", T.DoubleType))), T.StructField("rare", T.ArrayType(T.LongType()))])
     scored = saved(docs.mapInArrow(_scored(text, key, "held_out", sc.broadcast(filt), sc.broadcast((h[order], c[order])), total, distinct), out), "scored")

@@ -141,6 +141,20 @@ def test_filter_reads_back_counts():
     assert (filt.counts(bloom_lm.mix(np.arange(10**6, 10**6 + 5_000, dtype=np.uint64))) == 0).mean() > 0.95
 
 
+def test_model_holds_ngrams_seen_once(spark, monkeypatch):
+    """Some 350,000 tokens of pairs that are nearly all seen once (the power of two below 6 bits a token is 3 bits here)."""
+    filters, made = [], bloom_lm.Filter.__init__
+    monkeypatch.setattr(bloom_lm.Filter, "__init__", lambda self, *a: filters.append(self) or made(self, *a))
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(20_000)}" for _ in range(1_000)) for _ in range(340)]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    bloom_lm.lm_scores(df, F.lit(False))
+    data = [x.encode() for x in texts[:20]]
+    s, off = bloom_lm._sentences(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    keys = np.concatenate([bloom_lm._word_keys(s), bloom_lm._pair_keys(s, off)])
+    assert (np.sum([f.counts(keys) for f in filters], 0) > 0).all()
+
+
 # ------------------------------------------------ 1: secrets
 
 def plain_spans(t):
