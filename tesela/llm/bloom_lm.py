@@ -6,9 +6,9 @@ a count, with a chance that halves (or better) at each step. The filter holds wo
 begin and end.
 
 Size. The filter is cut into segments by hash; each is built in one task from about `SEGMENT_TOKENS` tokens' n-grams, so
-tasks stay alike at any size. A segment has as many bits as its counted n-grams need to leave it 30 % full. Up to `MOST_BITS`
-(64 MB, the proven bound of the broadcast) all n-grams are held; a segment that would pass its share of that starts at a higher
-quantised count: n-grams below read as unseen there, and the error rate stays what it was.
+tasks stay alike at any size. A segment has as many bits as its counted n-grams need to leave it 30 % full, so the filter
+grows with the corpus and holds every n-gram. It is broadcast in blocks of segments, of `BLOCK_BITS` (64 MB) or one segment at
+most; a task has one block in memory at a time and reads the counts of `HOLD` words from each in turn before it scores them.
 
 The exact counts never go to the driver or a broadcast as a whole: the `HEAD` most frequent words at most are broadcast;
 the others of a text are joined with the table of counts.
@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 
 from .common import fold, mix, saved, steps, words
 
-MOST_BITS = 1 << 29
+BLOCK_BITS = 1 << 29
+#: Words that a task gathers before it goes through the blocks, where there is more than one.
+HOLD = 2_000_000
 #: Bits to set for each bit of a segment: 30 % of its bits are set then, and an n-gram passes a level that it lacks with a chance of 9 %.
 FULL = 0.35
 SEGMENT_TOKENS, LEAST_SEGMENTS = 1_000_000, 64
@@ -132,8 +134,8 @@ def _levels(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(c)).astype(np.int64)
 
 
-def _built(least: int = 64, most: int = 1 << 31) -> Callable:
-    """Segments of as many bits as their n-grams need, least at least and most at most."""
+def _built(least: int = 64) -> Callable:
+    """Segments of as many bits as their n-grams need, and least at least, so all start at level 1."""
 
     def run(group: pa.Table) -> pa.Table:
         low, count = [], []
@@ -148,20 +150,19 @@ def _built(least: int = 64, most: int = 1 << 31) -> Callable:
         q = _levels(np.bincount(which, np.concatenate(count)))
         above = np.cumsum(np.bincount(q)[::-1])[::-1]  # how many have a level
         pairs = np.cumsum(above[::-1])[::-1] * PROBES  # bits to set from a level on
-        bits = min(most, max(least, 64 * ceil(pairs[1] / FULL / 64)))
-        start = next((j for j in range(1, len(pairs)) if pairs[j] <= FULL * bits), len(pairs))
+        bits = max(least, 64 * ceil(pairs[1] / FULL / 64))
         have = np.zeros(bits, bool)
-        for j in range(start, len(above)):
+        for j in range(1, len(above)):
             k = keys[q >= j]
             for i in range(PROBES):
                 have[_positions(k, j, i, bits).astype(np.int64)] = True
-        return pa.table({"segment": group["segment"][:1], "start": pa.array([start], pa.int32()), "ngrams": pa.array([len(keys)], pa.int64()), "bits": pa.array([np.packbits(have, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"segment": group["segment"][:1], "start": pa.array([1], pa.int32()), "ngrams": pa.array([len(keys)], pa.int64()), "bits": pa.array([np.packbits(have, bitorder="little").tobytes()], pa.binary())})
 
     return run
 
 
 class Filter:
-    """The filter as workers hold it: one byte array, the bits of each segment and where they begin, and the first level of each."""
+    """A block of the filter as workers hold it: one byte array, the bits of each segment (0 if in another block) and where they begin, and the first level of each."""
 
     def __init__(self, segments: int, bits: int | np.ndarray):
         self.segments, self.bits = segments, np.broadcast_to(np.asarray(bits, np.int64), segments)
@@ -169,12 +170,12 @@ class Filter:
         self.start = np.ones(segments, np.int64)
         self.have = np.zeros(self.at[-1] >> 3, np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised counts, as the middle of what they stand for."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The quantised counts; 0 for keys that are unseen or of another block's segments."""
         seg = (keys >> np.uint64(64 - int(log2(self.segments)))).astype(np.int64)
-        low, level = keys & _LOW, np.zeros(len(keys), np.int64)
+        low, level = keys & _LOW, np.zeros(len(keys), np.uint8)
         first = self.start[seg]
-        alive = np.arange(len(keys))
+        alive = np.flatnonzero(self.bits[seg])
         for j in range(int(first.min(initial=1)), 64):
             if not len(alive):
                 break
@@ -185,46 +186,102 @@ class Filter:
                 go = go[(self.have[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
             level[go] = j
             alive = np.concatenate([go, alive[late]])
-        return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
+        return level
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return _middle(self.levels(keys))
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts that a quantised count stands for."""
+    return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
+
+
+def _blocks(bits: np.ndarray) -> list[tuple[int, int]]:
+    """(first segment, segment after the last) of each block: BLOCK_BITS or one segment at most."""
+    out, first, size = [], 0, 0
+    for s, n in enumerate(bits.tolist()):
+        if size + n > BLOCK_BITS and s > first:
+            out.append((first, s))
+            first, size = s, 0
+        size += n
+    return [*out, (first, len(bits))]
+
+
+class _Held:
+    """A step's rows until their n-grams' levels are known."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, *columns: pa.Array):
+        s, self.off = _sentences(data, at)
+        self.columns, self.size = columns, len(s)
+        self.uniq, which = np.unique(s, return_inverse=True)
+        self.pairs, pair_of = np.unique(_pair_keys(s, self.off), return_inverse=True)
+        self.which, self.pair_of = which.astype(np.int32), pair_of.astype(np.int32)
+        self.word_level, self.pair_level = np.zeros(len(self.uniq), np.uint8), np.zeros(len(self.pairs), np.uint8)
+
+    def read(self, f: Filter) -> None:
+        """Each key is in one block, and adds 0 in the others."""
+        self.word_level += f.levels(_word_keys(self.uniq))
+        self.pair_level += f.levels(self.pairs)
+
+
+def _scored(text: str, key: str, held_out: str, filters: list, head, total: int, distinct: int) -> Callable:
+    room = float(total + distinct + 1)
+
+    def scores(x: _Held, rid: int) -> pa.RecordBatch:
+        common, common_c = head.value
+        uniq, which, off = x.uniq, x.which, x.off
+        n = len(off) - 1
+        word, pair = _middle(x.word_level), _middle(x.pair_level)[x.pair_of]
+        last, first = np.ones(x.size, bool), np.ones(x.size, bool)
+        last[off[1:] - 1] = first[off[:-1]] = False  # before[t] precedes now[t]
+        before, now = word[which[last]], word[which[first]]
+        own = (now + 1) / room
+        of_pair = np.where(before > 0, PAIR_WEIGHT, 0.0)
+        p = of_pair * np.minimum(pair, before) / np.maximum(before, 1.0) + (1 - of_pair) * own
+        row = np.repeat(np.arange(n), np.diff(off) - 1)
+        score = np.bincount(row, np.log10(p), n)
+        # exact counts: those of the head here, the others later
+        spot = np.minimum(np.searchsorted(common, uniq), max(0, len(common) - 1))
+        known = common[spot] == uniq if len(common) else np.zeros(len(uniq), bool)
+        c = np.where(known, common_c[spot] if len(common) else 0, 0)
+        tok = which[first]
+        n_head = np.bincount(row, known[tok], n).astype(np.int64)
+        log_head = np.bincount(row, np.log10(c + 1.0)[tok], n)
+        rare = np.flatnonzero(~known[tok])
+        r_row, r_h = row[rare], uniq[tok[rare]].view(np.int64)
+        cut = np.searchsorted(r_row, np.arange(n + 1))
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.arange(rid, rid + n)), *x.columns, pa.array(np.diff(off) - 1), pa.array(n_head), pa.array(log_head), pa.array(score),
+            pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(r_h)),
+        ], names=["rid", key, held_out, "n_tokens", "n_head", "log_head", "score", "rare"])
 
-def _scored(text: str, key: str, held_out: str, filt, head, total: int, distinct: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, (common, common_c) = filt.value, head.value
         rid = TaskContext.get().partitionId() << 40
-        room = float(total + distinct + 1)
+        held: list[_Held] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal rid
+            for b in filters:
+                f = b.value
+                for x in held:
+                    x.read(f)
+                if len(filters) > 1:  # the next block takes its place
+                    del f
+                    b.__dict__.pop("_value", None)
+            for x in held:
+                yield scores(x, rid)
+                rid += len(x.off) - 1
+            held.clear()
+
         for batch in batches:
-            keys, held = (batch.column(batch.schema.get_field_index(c)) for c in (key, held_out))
+            keys, outs = (batch.column(batch.schema.get_field_index(c)) for c in (key, held_out))
             for i, j, data, at in steps(batch.column(batch.schema.get_field_index(text))):
-                s, off = _sentences(data, at)
-                n = j - i
-                uniq, which = np.unique(s, return_inverse=True)
-                word = f.counts(_word_keys(uniq))
-                pairs, pair_of = np.unique(_pair_keys(s, off), return_inverse=True)
-                pair = f.counts(pairs)[pair_of]
-                last, first = np.ones(len(s), bool), np.ones(len(s), bool)
-                last[off[1:] - 1] = first[off[:-1]] = False  # before[t] precedes now[t]
-                before, now = word[which[last]], word[which[first]]
-                own = (now + 1) / room
-                of_pair = np.where(before > 0, PAIR_WEIGHT, 0.0)
-                p = of_pair * np.minimum(pair, before) / np.maximum(before, 1.0) + (1 - of_pair) * own
-                row = np.repeat(np.arange(n), np.diff(off) - 1)
-                score = np.bincount(row, np.log10(p), n)
-                # exact counts: those of the head here, the others later
-                spot = np.minimum(np.searchsorted(common, uniq), max(0, len(common) - 1))
-                known = common[spot] == uniq if len(common) else np.zeros(len(uniq), bool)
-                c = np.where(known, common_c[spot] if len(common) else 0, 0)
-                tok = which[first]
-                n_head = np.bincount(row, known[tok], n).astype(np.int64)
-                log_head = np.bincount(row, np.log10(c + 1.0)[tok], n)
-                rare = np.flatnonzero(~known[tok])
-                r_row, r_h = row[rare], uniq[tok[rare]].view(np.int64)
-                cut = np.searchsorted(r_row, np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(rid, rid + n)), keys.slice(i, n), held.slice(i, n), pa.array(np.diff(off) - 1), pa.array(n_head), pa.array(log_head), pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(r_h)),
-                ], names=["rid", key, held_out, "n_tokens", "n_head", "log_head", "score", "rare"])
-                rid += n
+                held.append(_Held(data, at, keys.slice(i, j - i), outs.slice(i, j - i)))
+                if len(filters) == 1 or sum(x.size for x in held) > HOLD:
+                    yield from out()
+        if held:
+            yield from out()
 
     return run
 
@@ -256,18 +313,20 @@ def lm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id"
 
     segments = max(LEAST_SEGMENTS, 1 << ceil(log2(max(1, total / SEGMENT_TOKENS))))
     parts = docs.select("held_out", text).mapInArrow(_ngrams(text, "held_out", segments), "segment int, blob binary")
-    built = parts.groupBy("segment").applyInArrow(_built(most=MOST_BITS // segments), "segment int, start int, ngrams long, bits binary")
+    built = parts.groupBy("segment").applyInArrow(_built(), "segment int, start int, ngrams long, bits binary")
     built = saved(built, "filter")
     bits = np.zeros(segments, np.int64)
     for r in built.select("segment", (F.length("bits") * 8).alias("n")).toLocalIterator():
         bits[r.segment] = r.n
-    filt = Filter(segments, bits)
-    for r in built.toLocalIterator():  # MOST_BITS at most in all
-        filt.start[r.segment] = r.start
-        filt.have[filt.at[r.segment] >> 3 : filt.at[r.segment + 1] >> 3] = np.frombuffer(r.bits, np.uint8)
+    filters = []
+    for a, b in _blocks(bits):
+        filt = Filter(segments, np.where((np.arange(segments) >= a) & (np.arange(segments) < b), bits, 0))
+        for r in built.filter(F.col("segment").between(a, b - 1)).toLocalIterator():
+            filt.have[filt.at[r.segment] >> 3 : filt.at[r.segment + 1] >> 3] = np.frombuffer(r.bits, np.uint8)
+        filters.append(sc.broadcast(filt))
 
     out = T.StructType([T.StructField("rid", T.LongType()), T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t()) for n, t in (("held_out", T.BooleanType), ("n_tokens", T.LongType), ("n_head", T.LongType), ("log_head", T.DoubleType), ("score", T.DoubleType))), T.StructField("rare", T.ArrayType(T.LongType()))])
-    scored = saved(docs.mapInArrow(_scored(text, key, "held_out", sc.broadcast(filt), sc.broadcast((h[order], c[order])), total, distinct), out), "scored")
+    scored = saved(docs.mapInArrow(_scored(text, key, "held_out", filters, sc.broadcast((h[order], c[order])), total, distinct), out), "scored")
     rare = scored.select("rid", F.explode("rare").alias("h")).join(vocab, "h")
     rare = rare.groupBy("rid").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("log_rare"))
     return scored.drop("rare").join(rare, "rid", "left").select(

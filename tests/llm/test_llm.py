@@ -155,6 +155,19 @@ def test_model_holds_ngrams_seen_once(spark, monkeypatch):
     assert (np.sum([f.counts(keys) for f in filters], 0) > 0).all()
 
 
+def test_model_in_blocks(spark, monkeypatch):
+    """The same scores from many small blocks, with no n-gram dropped."""
+    docs = spark.createDataFrame(rows_of(prose(200, words=3_000) + ODD), SCHEMA).repartition(3)
+    one = sorted(bloom_lm.corpus_scores(docs).collect())
+    made, filters = bloom_lm.Filter.__init__, []
+    monkeypatch.setattr(bloom_lm.Filter, "__init__", lambda self, *a: filters.append(self) or made(self, *a))
+    for name in ("MOST_BITS", "BLOCK_BITS"):
+        monkeypatch.setattr(bloom_lm, name, 1 << 14, raising=False)
+    monkeypatch.setattr(bloom_lm, "HOLD", 500, raising=False)
+    assert sorted(bloom_lm.corpus_scores(docs).collect()) == one
+    assert len(filters) > 3 and all(len(f.have) <= 1 << 11 for f in filters)
+
+
 # ------------------------------------------------ 1: secrets
 
 def plain_spans(t):
