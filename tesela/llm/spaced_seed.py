@@ -3,7 +3,8 @@
 Texts become words: runs of ASCII letters and digits and of bytes above 127, A-Z folded. A mask such as 110101 hashes the words where it has 1 and
 ignores those at 0, so a changed word does not hide a passage. Hashes of the items and of the texts are joined; around each hit
 the item lies on the text at one offset, and the best run of that alignment (one point for a word that matches, less
-`PENALTY` for one that does not) decides. So up to about a fifth of the words may be other ones.
+`PENALTY` for one that does not) decides; where that is too short, the longest stretch with `LIKE` of its words equal does. So up
+to a fifth of the words may be other ones, at the ends too.
 
 The items are read in blocks of at most `BLOCK_WORDS` words, a proven bound of the driver's memory and of the broadcast;
 every text meets every block.
@@ -57,6 +58,14 @@ def _inside(n: int, at: np.ndarray, span: int) -> np.ndarray:
     return np.arange(n) + span <= end
 
 
+def _longest(same: np.ndarray) -> tuple[int, int]:
+    """Start and end of the longest stretch with LIKE of its words equal; none has more that match, as stretches with fewer other words can be made longer."""
+    gain = np.concatenate([[0.0], np.cumsum(same - LIKE)])
+    start = np.searchsorted(-np.minimum.accumulate(gain), -gain - 1e-9)  # the first place not above each end
+    end = int((np.arange(len(gain)) - start).argmax())
+    return int(start[end]), end
+
+
 class Items:
     """A block of items as workers hold it."""
 
@@ -106,8 +115,12 @@ class Items:
             rise = gain - np.minimum.accumulate(gain)
             end = int(rise.argmax())
             start = int(gain[: end + 1].argmin())
-            n, match = end - start, int(same[start:end].sum())
-            if match >= min(MATCHES, WHOLE * len(own)) and match >= LIKE * n and match >= SHORTEST * WHOLE and (match, -off) > best.get((row, item), ((0, 0),))[0]:
+            match, need = int(same[start:end].sum()), min(MATCHES, WHOLE * len(own))
+            if not (match >= need and match >= LIKE * (end - start)) and same.sum() >= need:
+                start, end = _longest(same)
+                match = int(same[start:end].sum())
+            n = end - start
+            if match >= need and match >= LIKE * n and match >= SHORTEST * WHOLE and (match, -off) > best.get((row, item), ((0, 0),))[0]:
                 best[row, item] = (match, -off), off + lo + start, n, match
         for (row, item), (_, start, n, match) in best.items():
             yield row, item, start, n, match

@@ -264,6 +264,21 @@ def test_leaks(spark):
     assert spaced_seed.leaks(odd(spark), bench).count() == 0 and spaced_seed.leaks(odd(spark), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "changed"), [(11, [8]), (11, [9]), (12, [2, 9]), (12, [1, 10]), (13, [2, 10]), (15, [3, 7, 11]), (17, [2, 8, 14])])
+def test_leaks_with_changes_near_the_ends(n, changed):
+    """All have 80 % equal words, and 10 or 80 % of the item's; with one change more than that, none is a leak."""
+    item = [f"w{i}" for i in range(n)]
+
+    def found(changes):
+        text = " ".join(["before", *(f"z{i}" if i in changes else w for i, w in enumerate(item)), "after"]).encode()
+        h, at = spaced_seed._words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        return [x[2:] for x in spaced_seed.Items([0], [" ".join(item)]).verified(h, at)]
+
+    [(_, words, match)] = found(changed)
+    assert match >= 0.8 * words and match >= min(10, 0.8 * n)
+    assert found([*changed, *range(4, 4 + n // 5)]) == []
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     items = prose(9, 7, words=3000, length=50)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
