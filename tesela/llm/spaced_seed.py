@@ -25,8 +25,8 @@ from .common import mix, steps
 
 #: Weight 6 over 8 to 10 words, and one of weight 5 for the ends of passages with many changes.
 MASKS = ("11011011", "1110010111", "110101011", "101101001")
-#: Items with fewer words than the shortest mask are looked up by all their words in a row, from SHORTEST on.
-SHORTEST = 5
+#: Items of SHORTEST to SHORT words, for which MASKS are too long or too few, have masks of their own: whichever word is another one, a mask ignores it.
+SHORTEST, SHORT = 5, 8
 #: A leak: at least MATCHES words, or WHOLE of the item's words if that is fewer, on a run with LIKE of its words equal.
 MATCHES, WHOLE, LIKE, PENALTY = 10, 0.8, 0.8, 2.0
 BLOCK_WORDS = 4_000_000
@@ -66,6 +66,11 @@ def _longest(same: np.ndarray) -> tuple[int, int]:
     return int(start[end]), end
 
 
+def _short_masks(n: int) -> list[str]:
+    """For items of n words: all but the first or the last, and all but each of the others."""
+    return ["1" * (n - 1), *("1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1))]
+
+
 class Items:
     """A block of items as workers hold it."""
 
@@ -75,15 +80,15 @@ class Items:
         self.ids = ids
         self.h, self.at = _words(np.frombuffer(b"".join(raw), np.uint8), at)
         size = np.diff(self.at)
-        longest = min(map(len, MASKS))
-        self.masks = [*MASKS, *("1" * n for n in range(SHORTEST, longest) if (size == n).any())]
+        own = [(mask, n) for n in range(SHORTEST, SHORT + 1) if (size == n).any() for mask in _short_masks(n)]
+        self.masks = [*MASKS, *(mask for mask, _ in own)]
         self.keys, self.places = [], []
         self.seen = np.zeros(_TABLE, bool)
-        for mask in self.masks:
+        for mask, only in [*((mask, None) for mask in MASKS), *own]:
             k = _hashes(self.h, mask)
             ok = _inside(len(k), self.at, len(mask))
-            if mask not in MASKS:
-                ok &= np.repeat(size == len(mask), size)[: len(k)]
+            if only:
+                ok &= np.repeat(size == only, size)[: len(k)]
             place = np.flatnonzero(ok)
             order = np.argsort(k[place], kind="stable")
             self.keys.append(k[place][order])

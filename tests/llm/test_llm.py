@@ -279,6 +279,23 @@ def test_leaks_with_changes_near_the_ends(n, changed):
     assert found([*changed, *range(4, 4 + n // 5)]) == []
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8])
+def test_short_leaks_with_one_change(n):
+    item = [f"w{i}" for i in range(n)]
+    items = spaced_seed.Items([0], [" ".join(item)])
+
+    def found(words):
+        text = " ".join(words).encode()
+        h, at = spaced_seed._words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        return len(list(items.verified(h, at)))
+
+    for i in range(n):
+        changed = [*item[:i], "other", *item[i + 1 :]]
+        assert found(["before", *changed, "after"]) == 1 and found(changed) == 1
+        assert found([*changed[: (i + 1) % n], "another", *changed[(i + 1) % n + 1 :]]) == 0
+    assert found(item) == found(item[1:]) == found(item[:-1]) == 1
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     items = prose(9, 7, words=3000, length=50)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
