@@ -22,7 +22,7 @@ LEAST_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, and those that fit no learned language. The network learns from the documents table's training rows."""
+    """Rejects texts without a letter; with under five learned languages LEAST_SCORE rejects no other. The network learns from the documents table's training rows."""
     network = train(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1)
     kept = predict(docs, network, names=("__lang", "__score")).filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
     return kept.select(*docs.columns)
