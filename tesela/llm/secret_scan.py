@@ -2,7 +2,8 @@
 
 Two character Markov models of first order, with add-one smoothing, are trained from labelled samples: one of random strings, one of
 ordinary identifiers. A run of at least `RUN` characters of the alphabet that touches no span of the patterns becomes a span of kind
-`markov` if it has a letter and a digit and its log-likelihood ratio is at least `RATIO` in all and `RATE` for each character.
+`markov` if its log-likelihood ratio for each character reaches the model's rate, which is the lowest that finds `RECALL` of the held-out random
+samples of every mix of upper case, lower case, digits and signs. Shorter runs are not looked at: too few characters to tell by.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,9 @@ from pyspark.sql import types as T
 from .common import steps
 
 KINDS = ("assign", "access", "hex", "markov")
-RUN, RATIO, RATE = 20, 14.0, 0.45
+RUN, RECALL = 20, 0.97
+#: One labelled sample in so many is held out of the counts and sets the rate.
+HELD_OUT = 4
 
 
 def _either_case(words: list[str]) -> str:
@@ -41,48 +47,70 @@ _WORDS = "account action address agent array async backup base batch block buffe
 
 
 def samples(n: int = 4_000, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled strings: 1 for random ones of the alphabets that secrets use, 0 for identifiers made of words."""
+    """Labelled strings: 1 for random ones of the alphabets that secrets use, 0 for identifiers made of words and for ruled lines."""
     r = random.Random(seed)
     upper, digits = _CHARS[:26], _CHARS[52:62]
-    alphabets = [digits + "abcdef", _CHARS[:62], _CHARS[:64], upper + digits, _CHARS[26:62], _CHARS[:62] + "_-"]
+    alphabets = [digits + "abcdef", _CHARS[:62], _CHARS[:64], upper + digits, _CHARS[26:62], _CHARS[:62] + "_-", _CHARS[:52], _CHARS[26:52], upper]
     out = [("".join(r.choices(r.choice(alphabets), k=r.randint(20, 64))), 1) for _ in range(n)]
     for _ in range(n):
-        w, kind = r.choices(_WORDS, k=r.randint(3, 7)), r.randrange(6)
+        w, kind = r.choices(_WORDS, k=r.randint(3, 7)), r.randrange(7)
         tail = r.choice(["", "", str(r.randint(0, 99)), str(r.randint(1990, 2030)), f"v{r.randint(1, 9)}"])
         date = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
-        out.append(([w[0] + "".join(x.title() for x in w[1:]) + tail, "_".join(w) + "_" * bool(tail) + tail, "_".join(w).upper() + tail, "/".join(w) + "/" + date, "-".join(w) + "-" + date, "".join(w) + tail][kind], 0))
+        out.append(([w[0] + "".join(x.title() for x in w[1:]) + tail, "_".join(w) + "_" * bool(tail) + tail, "_".join(w).upper() + tail, "/".join(w) + "/" + date, "-".join(w) + "-" + date, "".join(w) + tail, r.choice(["-", "=", "_", "+", "/", "=-", "+-", "_/"]) * r.randint(20, 40)][kind], 0))
     return out
 
 
-def train(labelled: list[tuple[str, int]]) -> np.ndarray:
-    """[a, b]: log P(b | a) among random strings less that among ordinary ones; the last row is for the first character."""
+class Model:
+    """table[a, b]: log P(b | a) among random strings less that among ordinary ones, the last row for the first character; rate: the least ratio
+    for each character of a secret."""
+
+    def __init__(self, table: np.ndarray, rate: float = 0.0):
+        self.table, self.rate = table, rate
+
+    def ratio(self, run: str) -> float:
+        c = _CODE[np.frombuffer(run.encode(), np.uint8)].astype(np.int64)
+        return float(self.table[np.concatenate([[len(_CHARS)], c[:-1]]), c].sum())
+
+    def secret(self, run: str) -> bool:
+        return self.ratio(run) >= self.rate * len(run)
+
+
+def _mix(run: str) -> tuple:
+    return any(map(str.isupper, run)), any(map(str.islower, run)), any(map(str.isdigit, run)), not run.isalnum()
+
+
+def train(labelled: list[tuple[str, int]]) -> Model:
+    """From (string, 1 if random or 0 if ordinary). Every HELD_OUT-th sample only serves to set the rate, which is no lower than any held-out ordinary string's."""
     m = len(_CHARS)
     logs = []
     for label in (1, 0):
         counts = np.ones((m + 1, m))
-        for s, y in labelled:
-            if y == label:
+        for i, (s, y) in enumerate(labelled):
+            if y == label and i % HELD_OUT:
                 c = _CODE[np.frombuffer(s.encode(), np.uint8)]
                 c = c[c < m].astype(np.int64)
                 np.add.at(counts, (np.concatenate([[m], c[:-1]]), c), 1)
         logs.append(np.log(counts / counts.sum(1, keepdims=True)))
-    return logs[0] - logs[1]
-
-
-def ratio(model: np.ndarray, run: str) -> float:
-    c = _CODE[np.frombuffer(run.encode(), np.uint8)].astype(np.int64)
-    return float(model[np.concatenate([[len(_CHARS)], c[:-1]]), c].sum())
+    model, rates = Model(logs[0] - logs[1]), defaultdict(list)
+    for s, y in labelled[::HELD_OUT]:
+        if len(s) >= RUN and _RUN_RE.fullmatch(s):
+            rates[_mix(s) if y else None].append(model.ratio(s[:RUN]) / RUN if y else model.ratio(s) / len(s))  # the shortest are the hardest
+    ordinary = max(rates.pop(None, [0.0]))
+    model.rate = max(ordinary, min((float(np.quantile(x, 1 - RECALL)) for x in rates.values() if len(x) > 20), default=0.0))
+    return model
 
 
-def find(model: np.ndarray, text: str, runs: bool = True, assigned: bool = True) -> list[tuple[int, int, int]]:
+def find(model: Model, text: str, runs: bool = True, assigned: bool = True) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) in order; runs and assigned tell what the text may hold at all."""
     base = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] if assigned else []
     if runs:
         base += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
         base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+        base.sort()
+        starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
         for m in _RUN_RE.finditer(text):
-            s = m[0]
-            if not any(a < m.end() and m.start() < b for a, _, b in base) and any(map(str.isdigit, s)) and any(map(str.isalpha, s)) and (r := ratio(model, s)) >= RATIO and r >= RATE * len(s):
+            before = bisect_left(starts, m.end())  # spans that begin before the run ends
+            if not (before and reach[before - 1] > m.start()) and model.secret(m[0]):
                 base.append((m.start(), 3, m.end()))
     return sorted(base)
 
@@ -100,7 +128,7 @@ def _suspects(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bool],
     return long, [any(s in x for s in _STEMS) for a, b in zip(at[:-1], at[1:], strict=True) for x in (low[a:b],)], raw
 
 
-def _scan(text: str, keep: list[str], model: np.ndarray, row: Callable, names: list[str], types: list) -> Callable:
+def _scan(text: str, keep: list[str], model: Model, row: Callable, names: list[str], types: list) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in steps(batch.column(batch.schema.get_field_index(text))):
@@ -130,7 +158,8 @@ def _report(_: str | None, spans: list) -> tuple:
 def secret_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", labelled: list[tuple[str, int]] | None = None) -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256, spans, n_markov for each row of docs.
 
-    Spans are kind:start:end in code points, by start, then kind. A null or empty text has none; other columns are not used.
+    Spans are kind:start:end in code points, by start, then kind. A null or empty text has none; repeated rows each count, null keys stay, an
+    empty table gives none, other columns are not used. The work grows with the text's length times the logarithm of its spans.
     """
     kinds = [("n_assign", T.LongType(), pa.int64()), ("n_access", T.LongType(), pa.int64()), ("n_hex", T.LongType(), pa.int64()), ("base_sha256", T.StringType(), pa.string()), ("spans", T.StringType(), pa.string()), ("n_markov", T.LongType(), pa.int64())]
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t) for n, t, _ in kinds)])
@@ -148,7 +177,10 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_chars", labelled: list[tuple[str, int]] | None = None) -> DataFrame:
-    """docs with every span of its texts masked, and the length column (if any) put right where a text has changed."""
+    """docs with every span of its texts masked, and the length column (if any) put right where a text has changed.
+
+    Every row stays, with all its columns; null and empty texts stay as they are. A column __changed must not be there.
+    """
     from pyspark.sql import functions as F
 
     model, at_text = train(labelled or samples()), docs.columns.index(text)
