@@ -27,12 +27,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")
 BLOCKS = frozenset("html head body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend button select option label pre blockquote figure figcaption address details summary dialog hr menu search center".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "body": frozenset(["head"])}
+_P = frozenset(["p"])
 BOUNDS = frozenset("html body main article section header footer nav aside div ul ol dl table td th form fieldset blockquote figure dialog".split())
 ENDS_P = BLOCKS - frozenset("button label option select legend html head body".split())
 
 #: Stems of class and id names, by what they tell. Fixed values.
 STEMS = {
-    "comment": "comment disqus respond reply replies".split(),
+    "comment": "comment comments disqus respond reply replies responses".split(),
     "advert": "ad ads advert advertisement sponsor sponsored promo promotion banner".split(),
     "side": "sidebar side aside related widget recommended trending popular more share social sharing tags".split(),
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip".split(),
@@ -43,21 +44,76 @@ STEMS = {
 }
 _STEM = {s: kind for kind, stems in STEMS.items() for s in stems}
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>)""", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]+")
+_SPACE = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"""[^\s/>][^\s/>=]*(?:\s*=\s*)?""")
+_VALUE = re.compile(r"[^\s>]*")
+_WORD = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
 
 
+class _Tags:
+    """The tags of a page, read in one pass that never goes back: each character is looked at a fixed number of times.
+
+    Reads as browsers do: a quoted value begins after an equals sign, a tag or comment that does not end takes what is left of the page with
+    it. A quoted value that does not end is read as one without quotes, which costs a look at the rest of the page once for each kind of quote."""
+
+    def __init__(self, source: str):
+        self.source, self.at = source, 0
+        self.last = {q: source.rfind(q) for q in "\"'"}
+
+    def next(self) -> tuple[str, bool, str, str, bool] | None:
+        """(text before it, whether it ends an element, name, its class, id and role, whether it ends itself), name "" for comments and the like; None at the end."""
+        source = self.source
+        m = _OPEN.search(source, self.at)
+        if not m:
+            return None
+        text, kind = source[self.at : m.start()], m[0]
+        if kind == "<!--":
+            end = source.find("-->", m.end())
+            self.at = len(source) if end < 0 else end + 3
+            return text, False, "", "", False
+        if kind in ("<!", "<?"):
+            end = source.find(">", m.end())
+            self.at = len(source) if end < 0 else end + 1
+            return text, False, "", "", False
+        shuts = kind[1] == "/"
+        name = _NAME.match(source, m.end() - 1)
+        at, called = name.end(), []
+        while True:
+            blank = _SPACE.match(source, at)
+            at = blank.end()
+            if at >= len(source):
+                self.at = at
+                return text, False, "", "", False
+            if source[at] == ">":
+                self.at = at + 1
+                return text, shuts, name[0].lower(), " ".join(called), blank[0].endswith("/")
+            own = _ATTRIBUTE.match(source, at)
+            at, key = own.end(), own[0]
+            if not key.rstrip().endswith("=") or len(key.rstrip()) == 1:
+                continue
+            if (q := source[at : at + 1]) in ("'", '"') and q and self.last[q] > at:
+                end = source.index(q, at + 1)
+                value, at = source[at + 1 : end], end + 1
+            else:
+                plain = _VALUE.match(source, at)
+                value, at = plain[0], plain.end()
+            if key.rstrip("= \t\r\n\f").lower() in ("class", "id", "role"):
+                called.append(value)
+
+
 class Page:
     """parent and features of each node in page order, with the text of leaves (None for elements)."""
 
     def __init__(self, source: str):
         self.parent, self.features, self.text = [-1], [("tag=root",)], [None]
         self.at = [0]
-        self.start, self.end = [0], [0]
-        tags, at = ["root"], 0  # open block elements beside self.at
+        tags, opened = ["root"], Counter(["root"])  # open block elements beside self.at, and how many of each
         held: list[str] = []
         linked, in_link = 0, False
+        reader = _Tags(source)
 
         def flush() -> None:
             nonlocal linked
@@ -68,46 +124,47 @@ class Page:
                 self._leaf(tags[-1], text, linked)
             linked = 0
 
-        while True:
-            m = _TAG.search(source, at)
-            piece = source[at : m.start() if m else len(source)]
+        def shut(size: int) -> None:
+            opened.subtract(tags[size:])
+            del tags[size:], self.at[size:]
+
+        while tag := reader.next():
+            piece, ends, name, called, alone = tag
             if piece:
                 held.append(piece)
                 linked += len(piece) * in_link
-            if not m:
-                break
-            at = m.end()
-            name = (m[2] or "").lower()
-            if not name:
-                continue
             if name == "br":
                 held.append(" ")
             elif name == "a":
-                in_link = not m[1]
+                in_link = not ends
             elif name in _RAW_END:
-                if not m[1] and not m[3].rstrip().endswith("/"):
-                    at = _RAW_END[name].search(source, at).end()
+                if not ends and not alone:
+                    reader.at = _RAW_END[name].search(source, reader.at).end()
             elif name in BLOCKS:
                 flush()
-                if m[1]:
-                    if name in tags:
-                        while tags[-1] != name and not (name == "p" and tags[-1] in BOUNDS):
-                            tags.pop()
-                            self.at.pop()
-                        if tags[-1] == name:
-                            tags.pop()
-                            self.at.pop()
+                if ends:
+                    if opened[name]:
+                        k = len(tags) - 1
+                        while tags[k] != name and not (name == "p" and tags[k] in BOUNDS):
+                            k -= 1
+                        shut(k if tags[k] == name else k + 1)
                     in_link = False
                     continue
-                shut = CLOSES.get(name, frozenset()) | (frozenset(["p"]) if name in ENDS_P else frozenset())
-                k = len(tags) - 1
-                while k > 0 and tags[k] not in shut and (tags[k] not in BOUNDS or tags[k] in shut):
-                    k -= 1
-                if k > 0 and tags[k] in shut:
-                    del tags[k:], self.at[k:]
+                over = CLOSES.get(name, frozenset()) | (_P if name in ENDS_P else frozenset())
+                if any(opened[x] for x in over):
+                    k = len(tags) - 1
+                    while k > 0 and tags[k] not in over and tags[k] not in BOUNDS:
+                        k -= 1
+                    if k > 0 and tags[k] in over:
+                        shut(k)
                 if name not in VOID:
-                    self._element(name, m[3])
+                    self._element(name, called)
                     tags.append(name)
+                    opened[name] += 1
+        rest = source[reader.at :]
+        if rest:
+            held.append(rest)
+            linked += len(rest) * in_link
         flush()
 
     def _add(self, features: tuple, text: str | None) -> int:
@@ -116,8 +173,8 @@ class Page:
         self.text.append(text)
         return len(self.parent) - 1
 
-    def _element(self, name: str, attributes: str) -> None:
-        kinds = sorted({k for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if (k := _STEM.get(w))}) if "=" in attributes else []
+    def _element(self, name: str, called: str) -> None:
+        kinds = sorted({k for w in _WORD.findall(called.lower()) if (k := _STEM.get(w))}) if called else []
         self.at.append(self._add((f"tag={name}", *(f"name={k}" for k in kinds)), None))
 
     def _leaf(self, tag: str, text: str, linked: int) -> None:
@@ -213,12 +270,13 @@ def train(labelled: list[tuple[str, str]]) -> Model:
     return Model({f: float(w[k]) for f, k in names.items()}, {False: (w[m], w[m + 2]), True: (w[m + 1], w[m + 3])})
 
 
-def labelled_pages(n: int = 250, seed: int = 11) -> list[tuple[str, str]]:
+def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, str]]:
     """Pages of common layouts with their main text: menus, headers, footers, sidebars, notices, adverts, forms and comments around an
     article of paragraphs, headings, lists, quotes and tables."""
     r = random.Random(seed)
     word = lambda: "".join(r.choices("abcdefghilmnoprstuvy", k=r.randint(2, 9)))
     line = lambda a, b: (" ".join(word() for _ in range(r.randint(a, b)))).capitalize()
+    row = lambda: " ".join(f'<a href="/{word()}">{line(1, 2)}</a>' for _ in range(r.randint(2, 6)))
     links = lambda: "".join(f'<li><a href="/{word()}">{line(1, 3)}</a></li>' for _ in range(r.randint(2, 7)))
     pick = lambda kind: r.choice(STEMS[kind])
     end = lambda: r.choice([".", ".", ".", "", " |", "***", "!", " 12"])
@@ -237,11 +295,14 @@ def labelled_pages(n: int = 250, seed: int = 11) -> list[tuple[str, str]]:
                 f'<form action="/{word()}"><label>{line(1, 2)}</label><input><button>{line(1, 1)}</button></form>', f'<div class="{pick("side")}">{line(2, 12)}{end()} <a href="#">{line(1, 3)}</a></div>', f'<nav class="{pick("menu")}"><ul>{links()}</ul></nav>', f"<aside><p>{line(3, 25)}{end()}</p></aside>",
             ][kind]
 
+        par = "div" if r.random() < 0.12 else "p"  # what this page puts its paragraphs in
         body = [f"<h1>{say(2, 12, r.choice(['', '.']))}</h1>"] if r.random() < 0.9 else []
+        if body and r.random() < 0.15:
+            body = [f"<header>{body[0]}</header>"]
         for _ in range(r.randint(1, 9)):
             x = r.random()
             if x < 0.72:
-                body.append(f"<p>{say(1, 8) if r.random() < 0.35 else say(9, 90)}" + "</p>" * (r.random() < 0.8))
+                body.append(f"<{par}>{say(1, 8) if r.random() < 0.35 else say(9, 90)}" + f"</{par}>" * (par == "div" or r.random() < 0.8))
             elif x < 0.8:
                 body.append(f"<h{(h := r.randint(2, 4))}>{say(1, 6, '')}</h{h}>")
             elif x < 0.87:
@@ -251,20 +312,26 @@ def labelled_pages(n: int = 250, seed: int = 11) -> list[tuple[str, str]]:
             elif x < 0.94:
                 body.append("<table><tr>" + "".join(f"<td>{say(1, 3, '')}</td>" for _ in range(3)) + "</tr></table>")
             elif x < 0.96:
-                body.append(f"<pre>{say(2, 10)}</pre>")
+                body.append(f"<pre>{say(2, 10)}</pre>" if r.random() < 0.5 else f"<figure><img src='{word()}'><figcaption>{say(2, 10)}</figcaption></figure>")
+            elif x < 0.97:
+                body.append(f"<article><h2>{say(1, 6, '')}</h2><p>{say(5, 40)}</p></article>")
             else:
                 body.append(noise())
         shell = r.random()
         article = "".join(body)
-        if shell < 0.7:
+        if shell < 0.55:
             article = f"<article>{article}</article>"
-        elif shell < 0.85:
+        elif shell < 0.7:
             article = f'<div class="{pick("body")}">{article}</div>'
+        elif shell < 0.8:
+            article = f"<div>{article}</div>"
+        elif shell < 0.84:
+            article = f"<table><tr><td>{row()}</td><td>{article}</td></tr></table>"
         else:
             article = f'<main><div class="{pick("body")}">{article}</div></main>'
-        talk = f'<section class="{pick("comment")}"><h2>{line(1, 2)}</h2>' + "".join(f'<div class="comment"><p>{line(2, 40)}{end()}</p></div>' for _ in range(r.randint(1, 4))) + "</section>" if r.random() < 0.3 else ""
-        top = (f"<header><a href='/'>{line(1, 3)}</a></header>" if r.random() < 0.4 else "") + (f"<nav><ul>{links()}</ul></nav>" if r.random() < 0.8 else "")
-        foot = r.choice([f"<footer>&copy; {word()}.{word()} {line(1, 14)}{end()}</footer>", f'<div class="{pick("foot")}"><p>{line(3, 12)}{end()}</p></div>'])
+        talk = f'<section {r.choice(["class", "id"])}="{pick("comment")}"><h2>{line(1, 2)}</h2>' + "".join((f'<div class="comment"><p>{line(2, 40)}{end()}</p></div>' if r.random() < 0.6 else f"<p>{line(2, 40)}{end()}</p>") for _ in range(r.randint(1, 4))) + "</section>" if r.random() < 0.3 else ""
+        top = (f"<header><a href='/'>{line(1, 3)}</a></header>" if r.random() < 0.4 else "") + r.choice([f"<nav><ul>{links()}</ul></nav>"] * 6 + ["", "", f"<div>{row()}</div>", f"<ul>{links()}</ul>", f"<nav>{row()}</nav>"])
+        foot = r.choice([f"<footer><p>{line(3, 12)}{end()}</p></footer>", f"<div>&copy; {line(2, 6)}. {row()}</div>", f"<footer>&copy; {word()}.{word()} {line(1, 14)}{end()}</footer>", f'<div class="{pick("foot")}"><p>{line(3, 12)}{end()}</p></div>'])
         around = [noise() for _ in range(r.randint(0, 3))]
         cut = r.randint(0, len(around))
         page = f"<!DOCTYPE html><html><head><title>{line(2, 8)}</title></head><body>{top}{''.join(around[:cut])}{article}{talk}{''.join(around[cut:])}{foot}" + "</body></html>" * (r.random() < 0.9)
@@ -284,7 +351,11 @@ def _extracted(source: str, keep: list[str], model: Model) -> Callable:
 
 
 def main_text(pages: DataFrame, source: str = "html", keep: tuple[str, ...] = ("page_id", "url"), labelled: list[tuple[str, str]] | None = None) -> DataFrame:
-    """The kept columns of each row with text and n_chars (code points). Null and empty html give empty text."""
+    """The kept columns of each row with text and n_chars (code points). Null and empty html give empty text.
+
+    Repeated rows each count, null keys stay, an empty table gives none, other columns are not used. A kept column must not be called text or n_chars.
+    Pages of any length are read whole, in time in proportion to it.
+    """
     keep = list(keep)
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return pages.select(*dict.fromkeys([*keep, source])).mapInArrow(_extracted(source, keep, train(labelled or labelled_pages())), schema)
