@@ -6,8 +6,11 @@ the item lies on the text at one offset, and the best run of that alignment (one
 `PENALTY` for one that does not) decides; where that is too short, the longest stretch with `LIKE` of its words equal does. So up
 to a fifth of the words may be other ones, at the ends too.
 
+Items of fewer than `SHORTEST` words are too short for masks: one is a leak where a whole line of the text has its words and no others.
+
 The items are read in blocks of at most `BLOCK_WORDS` words, a proven bound of the driver's memory and of the broadcast;
-every text meets every block.
+every text meets every block. Items with the same words are one item until their rows are written, and hits are followed up in steps
+of `STEP_HITS`, so that a phrase in many items and many places of a text costs time but not memory.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ SHORTEST, SHORT = 5, 8
 MATCHES, WHOLE, LIKE, PENALTY = 10, 0.8, 0.8, 2.0
 BLOCK_WORDS = 4_000_000
 _TABLE = 1 << 22
+STEP_HITS = 500_000
 
 _INK = np.zeros(256, bool)
 _INK[48:58] = _INK[65:91] = _INK[97:123] = _INK[128:] = True
@@ -66,19 +70,29 @@ def _longest(same: np.ndarray) -> tuple[int, int]:
     return int(start[end]), end
 
 
+def _need(words: int) -> float:
+    """How many words of an item of so many must match; the shortest have lines of their own."""
+    return max(min(MATCHES, WHOLE * words), SHORTEST * WHOLE)
+
+
 def _short_masks(n: int) -> list[str]:
     """For items of n words: all but the first or the last, and all but each of the others."""
     return ["1" * (n - 1), *("1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1))]
 
 
 class Items:
-    """A block of items as workers hold it."""
+    """A block of items as workers hold it; items of the same words are one, with all their ids."""
 
     def __init__(self, ids: list, texts: list[str]):
         raw = [(t or "").encode() for t in texts]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        self.ids = ids
-        self.h, self.at = _words(np.frombuffer(b"".join(raw), np.uint8), at)
+        h, at = _words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+        same: dict[bytes, list] = {}
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            if b > a:
+                same.setdefault(h[a:b].tobytes(), []).append(ids[i])
+        self.ids = list(same.values())
+        self.h = np.frombuffer(b"".join(same), np.uint64)
+        self.at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in same])]).astype(np.int64)
         size = np.diff(self.at)
         own = [(mask, n) for n in range(SHORTEST, SHORT + 1) if (size == n).any() for mask in _short_masks(n)]
         self.masks = [*MASKS, *(mask for mask, _ in own)]
@@ -94,42 +108,97 @@ class Items:
             self.keys.append(k[place][order])
             self.places.append(place[order])
             self.seen[(self.keys[-1] >> np.uint64(42)).astype(np.int64)] = True
+        self.lines = {n: {_hashes(self.h[a : a + n], "1" * n)[0].item(): i for i, a in enumerate(self.at[:-1].tolist()) if size[i] == n} for n in range(1, SHORTEST)}
 
-    def hits(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, offset of the item's start in the text's words)."""
-        found = [np.zeros((0, 3), np.int64)]
+    def hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """(row, item, offset of the item's start in the text's words), distinct in each step of STEP_HITS hits or those of one place of a text."""
         for mask, keys, places in zip(self.masks, self.keys, self.places, strict=True):
             k = _hashes(h, mask)
             spot = np.flatnonzero(self.seen[(k >> np.uint64(42)).astype(np.int64)] & _inside(len(k), at, len(mask)))
             a, b = np.searchsorted(keys, k[spot], "left"), np.searchsorted(keys, k[spot], "right")
-            n = b - a
-            t = np.repeat(spot, n)
-            i = places[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            item, row = np.searchsorted(self.at, i, "right") - 1, np.searchsorted(at, t, "right") - 1
-            found.append(np.stack([row, item, (t - at[row]) - (i - self.at[item])], 1))
-        return np.unique(np.concatenate(found), axis=0)
+            spot, a, n = spot[b > a], a[b > a], (b - a)[b > a]
+            total = np.cumsum(n)
+            first = 0
+            while first < len(spot):
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + STEP_HITS, "right")))
+                c = n[first:last]
+                t = np.repeat(spot[first:last], c)
+                i = places[np.repeat(a[first:last], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+                item, row = np.searchsorted(self.at, i, "right") - 1, np.searchsorted(at, t, "right") - 1
+                yield np.unique(np.stack([row, item, (t - at[row]) - (i - self.at[item])], 1), axis=0)
+                first = last
+
+    def _equal(self, h: np.ndarray, at: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """How many words of the item lie on the same words of the text, for each hit."""
+        row, item, off = hits.T
+        size, out = np.diff(self.at)[item], np.zeros(len(hits), np.int64)
+        for part in np.array_split(np.arange(len(hits)), -(-int(size.sum()) // 4_000_000) or 1):
+            n = size[part]
+            own = np.repeat(self.at[item[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = own - np.repeat(self.at[item[part]] - off[part] - at[row[part]], n)
+            inside = (place >= np.repeat(at[row[part]], n)) & (place < np.repeat(at[row[part] + 1], n))
+            same = inside & (h[np.clip(place, 0, len(h) - 1)] == self.h[own])
+            out[part] = np.bincount(np.repeat(np.arange(len(part)), n), same, len(part)).astype(np.int64)
+        return out
+
+    def _run(self, text: np.ndarray, item: int, off: int) -> tuple[int, int, int] | None:
+        """(first word in the text, words, words that match) of the best run of an alignment, if it is a leak."""
+        own = self.h[self.at[item] : self.at[item + 1]]
+        lo, hi = max(0, -off), min(len(own), len(text) - off)
+        same = text[off + lo : off + hi] == own[lo:hi]
+        gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -PENALTY))])
+        rise = gain - np.minimum.accumulate(gain)
+        end = int(rise.argmax())
+        start = int(gain[: end + 1].argmin())
+        match, need = int(same[start:end].sum()), _need(len(own))
+        if not (match >= need and match >= LIKE * (end - start)) and same.sum() >= need:
+            start, end = _longest(same)
+            match = int(same[start:end].sum())
+        return (off + lo + start, end - start, match) if match >= need and match >= LIKE * (end - start) else None
 
     def verified(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, first word in the text, words of the run, words that match): the best run of each row and item that is a leak."""
+        """(row, item, first word in the text, words of the run, words that match): of each row and item that leak the run with most matches, the first of several."""
         best: dict[tuple[int, int], tuple] = {}
-        for row, item, off in self.hits(h, at).tolist():
-            text, own = h[at[row] : at[row + 1]], self.h[self.at[item] : self.at[item + 1]]
-            lo, hi = max(0, -off), min(len(own), len(text) - off)
-            same = text[off + lo : off + hi] == own[lo:hi]
-            gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -PENALTY))])
-            rise = gain - np.minimum.accumulate(gain)
-            end = int(rise.argmax())
-            start = int(gain[: end + 1].argmin())
-            match, need = int(same[start:end].sum()), min(MATCHES, WHOLE * len(own))
-            if not (match >= need and match >= LIKE * (end - start)) and same.sum() >= need:
-                start, end = _longest(same)
-                match = int(same[start:end].sum())
-            n = end - start
-            if match >= need and match >= LIKE * n and match >= SHORTEST * WHOLE and (match, -off) > best.get((row, item), ((0, 0),))[0]:
-                best[row, item] = (match, -off), off + lo + start, n, match
+        need = np.array([_need(n) for n in np.diff(self.at).tolist()])
+        for hits in self.hits(h, at):
+            equal = self._equal(h, at, hits)
+            pick = np.flatnonzero(equal >= need[hits[:, 1]])
+            for x in pick[np.lexsort((hits[pick, 2], -equal[pick]))].tolist():  # an alignment has no more matches than equal words
+                row, item, off = hits[x].tolist()
+                if (row, item) in best and (int(equal[x]), -off) <= best[row, item][0]:
+                    continue
+                found = self._run(h[at[row] : at[row + 1]], item, off)
+                if found and (row, item) not in best or found and (found[2], -off) > best[row, item][0]:
+                    best[row, item] = (found[2], -off), *found
         for (row, item), (_, start, n, match) in best.items():
             yield row, item, start, n, match
 
+    def as_lines(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The same for items of fewer than SHORTEST words: the first line of a row that has an item's words and no others."""
+        if not any(self.lines.values()):
+            return
+        breaks = np.flatnonzero(data == 10) + 1
+        cuts = np.unique(np.concatenate([at, breaks]))
+        h, w = _words(data, cuts)
+        count, row = np.diff(w), np.searchsorted(at, cuts[:-1], "right") - 1
+        begin = w[np.searchsorted(cuts, at[:-1])]  # the first word of each row
+        seen = set()
+        for n, wanted in self.lines.items():
+            line = np.flatnonzero(count == n)
+            if not wanted or not len(line):
+                continue
+            found = _hashes(h, "1" * n)[w[line]]
+            known = np.isin(found, np.fromiter(wanted, np.uint64))
+            for i, k in zip(line[known].tolist(), found[known].tolist(), strict=True):
+                x = int(row[i]), wanted[k]
+                if x not in seen:
+                    seen.add(x)
+                    yield *x, int(w[i] - begin[x[0]]), n, n
+
+    def found(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        yield from self.verified(*_words(data, at))
+        yield from self.as_lines(data, at)
+
 
 def _blocks(items: DataFrame, text: str, key: str) -> Iterator[Items]:
     ids, texts, size = [], [], 0
@@ -147,7 +216,8 @@ def _blocks(items: DataFrame, text: str, key: str) -> Iterator[Items]:
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each row of docs and item of which it holds a passage: key, item_key, first_word, run_words, matched, item_words.
 
-    Null and empty texts leak nothing, nor do items of fewer than SHORTEST words. Repeated rows each count.
+    Null and empty texts leak nothing, nor do items without a word. Repeated rows and repeated items each count, null keys stay, empty tables
+    give none, other columns are not used. Of a row and an item the run with most matches is given, the first of several.
     """
     spark = docs.sparkSession
     schema = T.StructType([docs.schema[key], items.schema[item_key], *(T.StructField(n, T.LongType()) for n in ("first_word", "run_words", "matched", "item_words"))])
@@ -168,8 +238,7 @@ def _found(block, text: str, key: str, item_key: str, schema: T.StructType) -> C
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
             for i, _, data, at in steps(batch.column(batch.schema.get_field_index(text))):
-                h, w = _words(data, at)
-                rows = [(keys[i + row].as_py(), items.ids[item], start, n, match, int(items.at[item + 1] - items.at[item])) for row, item, start, n, match in items.verified(h, w)]
+                rows = [(keys[i + row].as_py(), own, start, n, match, int(items.at[item + 1] - items.at[item])) for row, item, start, n, match in items.found(data, at) for own in items.ids[item]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
@@ -177,14 +246,14 @@ def _found(block, text: str, key: str, item_key: str, schema: T.StructType) -> C
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs that hold no passage of any item, with all their columns."""
+    """The rows of docs that hold no passage of any item, with all their columns. Null and empty texts stay, as do repeated rows and null keys."""
 
     def keep(block) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ok = np.ones(batch.num_rows, bool)
                 for i, _, data, at in steps(batch.column(batch.schema.get_field_index(text))):
-                    for row, *_ in block.value.verified(*_words(data, at)):
+                    for row, *_ in block.value.found(data, at):
                         ok[i + row] = False
                 yield batch.filter(pa.array(ok))
 
