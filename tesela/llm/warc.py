@@ -4,8 +4,9 @@ Writing uses DataFrame functions alone. A payload becomes an HTTP response with
 cut into segments (a first record and continuation records that name it by WARC-Segment-Origin-ID). So no record is longer
 than SEGMENT and its header, and a file of `FILE_RECORDS` records has a bound that page sizes do not move. Files are gzipped WARC.
 
-Reading takes each file in one go, follows Content-Length from record to record, groups continuation records by their origin, orders them
-by segment number, verifies the total length, decodes the chunked framing and compares the payload with the digest in its header.
+Reading takes each file in one go and once, follows Content-Length from record to record, groups continuation records by their origin, orders
+them by segment number, verifies the total length, decodes the chunked framing and compares the payload with the digest in its header. A
+revisit names its response by WARC-Refers-To, which a join resolves. What is not well formed becomes a row that tells what is wrong.
 """
 
 from __future__ import annotations
@@ -44,35 +45,51 @@ def _chunked(payload: Column) -> Column:
     return F.concat(body, F.lit(f"0{_NEW}{_NEW}"))
 
 
+def _urn(uuid: Column) -> Column:
+    return F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))
+
+
+def _record_id(key: Column, digest: Column) -> Column:
+    h = F.sha2(F.concat_ws(" ", key.cast("string"), digest), 256)
+    return _urn(F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
+
+
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row `record` for each WARC record (without the blank lines that end it) of the pages.
 
     Null html is an empty payload. Of rows with equal payloads of LEAST_REVISIT bytes or more, those with the smallest key are responses (nulls among keys
-    come after all others), the others revisits of it.
+    come after all others), the others revisits of it. A response's record id follows from its key and digest; where rows repeat both, each has an
+    id of its own and names that one by WARC-Concurrent-To.
     """
     base = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("size", F.octet_length("payload")).withColumn("digest", F.sha2("payload", 256))
-    # grouped by size too, so that the join deals both sides anew and a digest of many pages can be split
-    first = base.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
+    # counted by key first, so that what is dealt by digest is small; grouped by size too, so that the join deals both sides anew and a digest of many pages can be split
+    counted = base.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size", "id").agg(F.count("*").alias("n"))
+    first = counted.groupBy("digest", "size").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"), F.sum("n").alias("copies")).filter("copies > 1").select("digest", "first", "first_n")
     base = base.join(first, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
-    base = base.withColumn("rid", F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))
+    again = F.col("id").isNull() | (F.col("first").isNotNull() & (F.col("id") == F.col("first")) & (F.col("first_n") > 1))
+    base = base.withColumn("rid", F.when(again, _urn(F.expr("uuid()"))).otherwise(_record_id(F.col("id"), F.col("digest"))))
+    base = base.withColumn("beside", F.when(again & F.col("id").isNotNull(), _record_id(F.col("id"), F.col("digest"))))
     target = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("-"))))
     http = F.when(F.col("revisit"), F.lit(f"HTTP/1.1 200 OK{_NEW}Content-Type: text/html; charset=utf-8{_NEW}{_NEW}")).otherwise(F.concat(F.lit(f"HTTP/1.1 200 OK{_NEW}Content-Type: text/html; charset=utf-8{_NEW}Transfer-Encoding: chunked{_NEW}{_NEW}"), _chunked(F.col("payload"))))
-    base = base.select("id", "digest", "first", "revisit", "rid", target.alias("target"), http.cast("binary").alias("block")).withColumn("total", F.octet_length("block"))
+    base = base.select("id", "digest", "first", "revisit", "rid", "beside", target.alias("target"), http.cast("binary").alias("block")).withColumn("total", F.octet_length("block"))
     base = base.withColumn("parts", F.greatest(F.ceil(F.col("total") / SEGMENT).cast("int"), F.lit(1)))
-    cut = base.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
-    block = F.substring(F.col("block"), (F.col("part") - 1) * SEGMENT + 1, F.lit(SEGMENT))
+    # the pieces are cut before the rows are, so that no row carries the whole block
+    pieces = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: F.substring(F.col("block"), (i - 1) * SEGMENT + 1, F.lit(SEGMENT)))
+    cut = base.withColumn("pieces", pieces).drop("block").select("*", F.posexplode("pieces").alias("at", "piece")).drop("pieces").withColumn("part", F.col("at") + 1)
+    block = F.col("piece")
     begins, several, ends = F.col("part") == 1, F.col("parts") > 1, F.col("part") == F.col("parts")
     header = _lines(
         F.lit("WARC/1.1"),
         _named("WARC-Type", F.when(F.col("revisit"), "revisit").when(begins, "response").otherwise("continuation")),
-        _named("WARC-Record-ID", F.when(begins, F.col("rid")).otherwise(F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))),
+        _named("WARC-Record-ID", F.when(begins, F.col("rid")).otherwise(_urn(F.expr("uuid()")))),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
         _named("WARC-Target-URI", F.col("target")),
         F.when(begins, _named("X-Page-ID", F.col("id"))),
         F.when(begins, _named("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))),
         F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(F.col("revisit"), _named("X-Refers-To-Page-ID", F.col("first"))),
+        F.when(F.col("revisit"), _named("WARC-Refers-To", _record_id(F.col("first"), F.col("digest")))),
+        F.when(begins, _named("WARC-Concurrent-To", F.col("beside"))),
         F.when(several, _named("WARC-Segment-Number", F.col("part"))),
         F.when(several & ~begins, _named("WARC-Segment-Origin-ID", F.col("rid"))),
         F.when(several & ends, _named("WARC-Segment-Total-Length", F.col("total"))),
@@ -90,19 +107,32 @@ def write_archives(rows: DataFrame, path: str) -> None:
 # ---------------------------------------------------------------- reading
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record; raises ValueError where the file is not well formed."""
+    """(header fields by lower-case name, block) of each record. One that is not well formed gives ({"error": why}, b""), and reading goes on
+    where the next line begins with WARC/."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         head = data[at:end].decode("utf-8", "replace").split("\r\n") if end >= 0 else [""]
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-        start, size = end + 4, int(fields["content-length"])
-        if start + size > len(data) or data[start + size : start + size + 4] not in (b"\r\n\r\n", b""):
-            raise ValueError(f"a record at byte {at} does not end after its {size} bytes")
-        yield fields, data[start : start + size]
-        at = start + size + 4
+        length = fields.get("content-length", "")
+        start = end + 4
+        after = start + int(length) if length.isdecimal() else -1
+        why = None
+        if not head[0].startswith("WARC/"):
+            why = "no WARC record"
+        elif after < 0:
+            why = "a record without a length"
+        elif after > len(data) or data[after : after + 4] not in (b"\r\n\r\n", b""):
+            why = f"a record that does not end after its {length} bytes"
+        elif "warc-type" not in fields or "warc-record-id" not in fields:
+            why = "a record without a type or an id"
+        if why:
+            yield {"error": f"{why}, at byte {at}"}, b""
+            further = data.find(b"\nWARC/", at + 1)
+            at = further + 1 if further >= 0 else len(data)
+        else:
+            yield fields, data[start:after]
+            at = after + 4
 
 
 def unchunked(body: bytes) -> bytes:
@@ -136,19 +166,41 @@ def joined(segments: list[tuple[int, bytes]], total: int) -> bytes:
     return block
 
 
-_PAGE = "page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+#: A record or segment as it is read: of a whole record the payload's length and digest take the place of the block.
+_PIECE = "origin string, number int, total long, type string, page_id string, named string, refers string, payload_bytes long, digest string, block binary, error string"
+_PIECE_NAMES = [x.split()[0] for x in _PIECE.split(", ")]
+_PIECE_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_PAGE = "page_id string, record_type string, record_id string, refers string, payload_bytes long, payload_digest string, error string"
 _PAGE_NAMES = [x.split()[0] for x in _PAGE.split(", ")]
 
 
-def _page(fields: dict[str, str], block: bytes) -> tuple:
-    stated = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    if fields["warc-type"] == "revisit":
-        return fields.get("x-page-id"), "revisit", fields.get("x-refers-to-page-id"), None, stated
-    payload = payload_of(block)
+def _payload(block: bytes, stated: str | None) -> tuple[int | None, str | None, str | None]:
+    """(bytes, digest, what is wrong) of a response's payload."""
+    try:
+        payload = payload_of(block)
+    except ValueError as e:
+        return None, stated, f"chunked framing: {e}"
     digest = hashlib.sha256(payload).hexdigest()
-    if stated and stated != digest:
-        raise ValueError(f"page {fields.get('x-page-id')}: payload {digest}, stated {stated}")
-    return fields.get("x-page-id"), "response", None, len(payload), digest
+    return len(payload), digest, f"payload {digest}, stated {stated}" if stated and stated != digest else None
+
+
+def _piece(fields: dict[str, str], block: bytes) -> tuple | None:
+    if "error" in fields:
+        return "", None, None, "broken", None, None, None, None, None, None, fields["error"]
+    kind, rid, number = fields["warc-type"], fields["warc-record-id"], fields.get("warc-segment-number")
+    stated = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
+    head = kind, fields.get("x-page-id"), fields.get("warc-concurrent-to") or rid, fields.get("warc-refers-to")
+    if number:
+        numbers = number, fields.get("warc-segment-total-length", "0")
+        if not all(x.isdecimal() for x in numbers):
+            return "", None, None, "broken", None, rid, None, None, None, None, f"segment {numbers[0]} of {numbers[1]} bytes"
+        return fields.get("warc-segment-origin-id") or rid, int(number), int(numbers[1]), *head, None, stated, block, None
+    if kind == "revisit":
+        return rid, None, None, *head, None, stated, None, None
+    if kind == "response":
+        size, digest, wrong = _payload(block, stated)
+        return rid, None, None, *head, size, digest, None, wrong
+    return None
 
 
 def _inflated(data: bytes) -> bytes:
@@ -163,57 +215,65 @@ def _inflated(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read(segmented: bool) -> Callable:
-    """Rows for records that are whole, or for segments."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for fields, block in parse(_inflated(content.as_buffer().to_pybytes())):
-                    number = fields.get("warc-segment-number")
-                    if segmented and number:
-                        rows.append((fields.get("warc-segment-origin-id") or fields["warc-record-id"], int(number), int(fields.get("warc-segment-total-length", 0)), fields.get("x-page-id"), fields.get("warc-payload-digest"), block))
-                    elif not segmented and not number and fields["warc-type"] in ("response", "revisit"):
-                        rows.append(_page(fields, block))
-                if rows:
-                    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()] if segmented else [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                    names = ["origin", "number", "total", "page_id", "digest", "block"] if segmented else _PAGE_NAMES
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return run
-
-
-def _reassembled(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    block = joined([(r["number"], r["block"]) for r in rows], max(r["total"] for r in rows))
-    head = next(r for r in rows if r["number"] == 1)
-    row = _page({"warc-type": "response", "x-page-id": head["page_id"], "warc-payload-digest": head["digest"] or ""} if head["page_id"] is not None else {"warc-type": "response", "warc-payload-digest": head["digest"] or ""}, block)
-    return pa.table([pa.array([x], k) for x, k in zip(row, [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()], strict=True)], names=_PAGE_NAMES)
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [_PIECE_KINDS[x.split()[1]] for x in _PIECE.split(", ")]
+    for batch in batches:
+        for content in batch.column(0):
+            rows = [r for r in (_piece(*x) for x in parse(_inflated(content.as_buffer().to_pybytes()))) if r]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_PIECE_NAMES)
+
+
+def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (origin, its pieces): each whole record, and the page that the segments make."""
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    for batch in batches:
+        out = []
+        for pieces in batch.column(0).to_pylist():
+            out += [(x["page_id"], x["type"], x["named"], x["refers"], x["payload_bytes"], x["digest"], x["error"]) for x in pieces if x["number"] is None]
+            parts = [x for x in pieces if x["number"] is not None]
+            if parts:
+                head = min(parts, key=lambda x: x["number"])
+                try:
+                    block = joined([(x["number"], x["block"]) for x in parts], max(x["total"] for x in parts))
+                except ValueError as e:
+                    out.append((head["page_id"], "response", head["named"], None, None, head["digest"], str(e)))
+                else:
+                    out.append((head["page_id"], "response", head["named"], None, *_payload(block, head["digest"])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_PAGE_NAMES)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """page_id (text), record_type, refers_to, payload_bytes and payload_digest of every response and revisit in the archives of a folder.
+    """page_id (text), record_type, record_id (or that of the record it stands beside), refers (a record id), payload_bytes, payload_digest and
+    error of every response and revisit in the archives of a folder.
 
-    A page's segments meet in one task: a page is what bounds them. payload_bytes of a revisit is null here.
+    The pieces of a record meet in one task: a page is what bounds them. payload_bytes of a revisit is null here. A record that is not well formed
+    gives a row of type `broken`, a page with a segment missing, of another length or of another digest than stated a response, both with an error.
+    A segment that is there twice counts once.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    whole = files.mapInArrow(_read(False), _PAGE)
-    parts = files.mapInArrow(_read(True), "origin string, number int, total long, page_id string, digest string, block binary")
-    return whole.unionByName(parts.groupBy("origin").applyInArrow(_reassembled, _PAGE))
+    pieces = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, _PIECE)
+    met = pieces.groupBy("origin").agg(F.collect_list(F.struct(*_PIECE_NAMES[1:])).alias("pieces"))
+    return met.select("pieces").mapInArrow(_reassembled, _PAGE)
 
 
 def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes the pages to archives and reads them back: key, payload_bytes, payload_digest, record_type, refers_to for each row.
 
-    A revisit's payload is that of the response with its digest; one without any raises nothing but has null payload_bytes. Rows that repeat
-    the smallest key of a payload are responses all.
+    A revisit's length and refers_to are those of the response that its WARC-Refers-To names. Rows that repeat the smallest key of a payload are
+    responses all. Null keys stay, an empty table gives none, other columns are not used. Raises where the archives do not read back whole.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(records(pages, key, url, html), path)
     found = saved(read_pages(spark, path), "pages")
+    wrong = found.filter("error is not null").limit(3).collect()
+    if wrong:
+        raise ValueError(f"archives that do not read back: {[r.error for r in wrong]}")
     kind = pages.schema[key].dataType
-    known = found.filter("record_type = 'response'").groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("n")).select("payload_digest", F.col("payload_bytes").alias("of_response"))
-    revisits = found.filter("record_type = 'revisit'").join(known, "payload_digest", "left").withColumn("payload_bytes", F.col("of_response")).drop("of_response")
-    return found.filter("record_type = 'response'").unionByName(revisits).select(F.col("page_id").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    responses = found.filter("record_type = 'response'")
+    # grouped by length too, so that the join deals both sides anew and a response with many revisits can be split
+    named = responses.groupBy(F.col("record_id").alias("refers"), F.col("payload_bytes").alias("of_response")).agg(F.min(F.col("page_id").cast(kind)).alias("named"))
+    revisits = found.filter("record_type = 'revisit'").join(named, "refers", "left")
+    revisits = revisits.select("page_id", F.col("of_response").alias("payload_bytes"), "payload_digest", "record_type", F.col("named").alias("refers_to"))
+    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(kind).alias("refers_to")).unionByName(revisits).withColumn("page_id", F.col("page_id").cast(kind)).withColumnRenamed("page_id", key).select(key, "payload_bytes", "payload_digest", "record_type", "refers_to")
