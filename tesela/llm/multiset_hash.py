@@ -1,14 +1,20 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, with DataFrame functions alone.
 
-A text's units are its paragraphs (between line feeds), long ones cut after sentence ends. A fingerprint is the sum of a wide
-vector for each unit, each part modulo a power of two, so it does not depend on order, and units can be added or taken away
-later by adding or subtracting their own fingerprints:
-
-* count: how many units, modulo 2**32;
-* `DENSE` parts of 32 bits from independent hashes of the unit: equal sums tell equal multisets, but for 2**-256;
-* sparse parts of 16 bits in strata of `LANES`: a unit adds its hash to one lane of the first stratum, and to one of each further stratum if its
-  hash is 0 modulo 16, 256.. From the share of lanes that two fingerprints have equal follows how many units
-  they differ in (as in strata estimators, Eppstein et al., 2011), and from the counts their likeness.
+A text's units are its paragraphs (what stands between line feeds). A fingerprint is the sum of a wide vector for each paragraph, each part
+modulo a power of two, so it does not depend on order, and paragraphs can be added or taken away later by adding or subtracting their
+own fingerprints:
+
+* count: how many paragraphs, modulo 2**32;
+* `DENSE` parts of 32 bits, the SHA-256 of the paragraph: texts of unequal multisets have equal sums with a chance of 2**-256, where nobody
+  picks paragraphs in order that their sums meet;
+* sparse parts, for likeness: a paragraph's pieces are its sentences. How many there are, modulo 2**32, and parts of 16 bits in strata of
+  `LANES`: a piece adds its hash to one lane of the first stratum, and to one of each further stratum if its hash is 0 modulo 4, 16, 64, 256.
+
+Likeness is 2 |A & B| / (|A| + |B|) of the multisets of pieces, estimated: from the share of lanes that two fingerprints have equal follows how many
+pieces they differ in (as in strata estimators, Eppstein et al., 2011), and from the counts the rest. Texts of equal dense parts have
+a likeness of 1. The finest stratum with a tenth of its lanes equal decides. Pieces that repeat are counted as often as they are there, but a
+difference in one lane counts once, so where a piece that one text has often is missing from the other, the estimate is too high; what the
+counts alone exclude is never given. Over texts of 4 to 2,000 sentences its mean error is 0.05; single ones are off by up to 0.4.
 """
 
 from __future__ import annotations
@@ -19,14 +25,22 @@ from pyspark.sql.window import Window
 
 from .common import saved
 
-DENSE, LANES, STRATA = 8, (64, 32, 32), (1, 16, 256)
-PARTS = 1 + DENSE + sum(LANES)
+DENSE, LANES, STRATA = 8, (64, 32, 32, 32, 32), (1, 4, 16, 64, 256)
+#: Parts of 32 bits: count, dense ones, count of pieces; the others have 16.
+WIDE = 2 + DENSE
+PARTS = WIDE + sum(LANES)
 _M32, _M16 = 1 << 32, 1 << 16
 
 
 def units(text: Column) -> Column:
-    """The units of a text: empty ones are left out, so an empty or null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?]) "), lambda u: u != "")
+    """The paragraphs of a text: empty ones are left out, so an empty or null text has none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda u: u != "")
+
+
+def _pieces(unit_array: Column) -> Column:
+    """The sentences of all paragraphs, cut after a full stop, question or exclamation mark and the space that follows. Joining paragraphs by the
+    line feed that none of them has makes this one split."""
+    return F.filter(F.split(F.array_join(unit_array, "\n"), r"\n|(?<=[.!?]) "), lambda u: u != "")
 
 
 def _summed(values: Column, modulus: int) -> Column:
@@ -39,16 +53,20 @@ def _bound(value: Column, body) -> Column:
 
 
 def fingerprint(unit_array: Column) -> Column:
-    """array<long> of PARTS values for an array of units."""
+    """array<long> of PARTS values for an array of paragraphs."""
     return _bound(unit_array, _vector)
 
 
 def _vector(u: Column) -> Column:
-    word = lambda seed: F.transform(u, lambda x: F.xxhash64(F.lit(seed), x))
-    halves = lambda h: F.array(_summed(F.transform(h, lambda x: x.bitwiseAND(F.lit(_M32 - 1))), _M32), _summed(F.transform(h, lambda x: F.shiftrightunsigned(x, 32)), _M32))
-    out = [F.array(F.size(u).cast("long")), *(_bound(word(s), halves) for s in range(DENSE // 2))]
-    strata = [_lanes(h, n) if every == 1 else _lanes(F.filter(h, _multiple_of(every)), n) for h in [word(100)] for n, every in zip(LANES, STRATA, strict=True)]
-    return F.concat(*out, *strata)
+    digests = F.transform(u, lambda x: F.sha2(x, 256))
+    dense = lambda d: F.array(*(_summed(F.transform(d, _word_of(i)), _M32) for i in range(DENSE)))
+    hashes = F.transform(_pieces(u), lambda x: F.xxhash64(F.lit(100), x))
+    strata = lambda h: F.concat(F.array(F.size(h).cast("long")), *(_lanes(h if every == 1 else F.filter(h, _multiple_of(every)), n) for n, every in zip(LANES, STRATA, strict=True)))
+    return F.concat(F.array(F.size(u).cast("long")), _bound(digests, dense), _bound(hashes, strata))
+
+
+def _word_of(i: int):
+    return lambda digest: F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")
 
 
 def _multiple_of(every: int):
@@ -66,7 +84,7 @@ def _lanes(h: Column, n: int) -> Column:
 
 
 def _modulus(i: Column) -> Column:
-    return F.when(i < 1 + DENSE, F.lit(_M32)).otherwise(F.lit(_M16))
+    return F.when(i < WIDE, F.lit(_M32)).otherwise(F.lit(_M16))
 
 
 def added(a: Column, b: Column) -> Column:
@@ -80,22 +98,23 @@ def removed(a: Column, b: Column) -> Column:
 
 
 def hexadecimal(a: Column) -> Column:
-    return F.lower(F.concat_ws("", F.transform(a, lambda x, i: F.when(i < 1 + DENSE, F.lpad(F.hex(x), 8, "0")).otherwise(F.lpad(F.hex(x), 4, "0")))))
+    return F.lower(F.concat_ws("", F.transform(a, lambda x, i: F.when(i < WIDE, F.lpad(F.hex(x), 8, "0")).otherwise(F.lpad(F.hex(x), 4, "0")))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of units in common (2 |A & B| / (|A| + |B|), as multisets), from two fingerprints; 1 if both are of no unit."""
-    total = (a[0] + b[0]).cast("double")
+    """Estimated share of pieces in common (2 |A & B| / (|A| + |B|), as multisets), from two fingerprints; 1 if both are of no paragraph."""
+    own, other = a[WIDE - 1], b[WIDE - 1]
+    total = (own + other).cast("double")
     estimate = None
-    at = [1 + DENSE + sum(LANES[:i]) for i in range(len(LANES))]
+    at = [WIDE + sum(LANES[:i]) for i in range(len(LANES))]
     for start, n, every in reversed(list(zip(at, LANES, STRATA, strict=True))):
         same = F.size(F.filter(F.zip_with(F.slice(a, start + 1, n), F.slice(b, start + 1, n), lambda x, y: x == y), lambda e: e)).cast("double")
         apart = F.log(F.greatest(same, F.lit(0.5)) / F.lit(float(n))) / F.log(F.lit(1 - 1 / n)) * F.lit(float(every))
         # the finest stratum that is not full decides
         estimate = apart if estimate is None else F.when(same >= 0.1 * n, apart).otherwise(estimate)
     close = F.greatest(F.lit(0.0), F.lit(1.0) - estimate / total)
-    # one count that differs from the other is a difference of as many units at least
-    bound = F.lit(2.0) * F.least(a[0], b[0]) / total
+    # one count that differs from the other is a difference of as many pieces at least
+    bound = F.lit(2.0) * F.least(own, other) / total
     return F.when(total == 0, F.lit(1.0)).when(F.slice(a, 1, 1 + DENSE) == F.slice(b, 1, 1 + DENSE), F.lit(1.0)).otherwise(F.least(close, bound))
 
 
