@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 
 from .common import chained, steps, words
 
-#: Bound of the sample of labelled rows that the model is fitted on, drawn by hash; all of them if fewer.
+#: Bound of the sample of labelled rows that the model is fitted on, drawn by hash of their keys; all of them if fewer. Of several documents
+#: of one key the one whose features sort first counts.
 LABELLED = 20_000
 BINS, COARSE, PAIRS = 48, 12, 8
-ROUNDS, PAIR_ROUNDS, RATE, LEAST_LEAF, RIDGE = 60, 30, 0.15, 8.0, 2.0
+#: LEAST_LEAF: the weight (sum of p (1 - p)) under which a leaf counts for nothing when cuts are compared.
+ROUNDS, PAIR_ROUNDS, RATE, LEAST_LEAF, RIDGE = 60, 30, 0.15, 0.8, 2.0
 
 FEATURES = ("chars", "words", "word_length", "upper", "digit", "space", "stop", "pipe", "bang", "symbol", "bracket", "beyond_ascii", "lines", "line_length", "distinct_words", "distinct_pairs", "commonest_word", "distinct_lines")
 
@@ -86,12 +88,12 @@ def _leaf(g, h):
 
 
 def _gain(g, h):
-    return np.where(h >= LEAST_LEAF * 0.1, g * g / (h + RIDGE), 0)
+    return np.where(h >= LEAST_LEAF, g * g / (h + RIDGE), 0)
 
 
 def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Values by bin of the best tree with up to three leaves over ordered bins with gradients g and weights h."""
-    best, value = 0.0, np.full(len(g), 0.0)
+    value = np.zeros(len(g))
     ends = [0, len(g)]
     for _ in range(2):
         found = None
@@ -108,7 +110,7 @@ def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     if len(ends) > 2:
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             value[a:b] = _leaf(g[a:b].sum(), h[a:b].sum())
-    return value + best
+    return value
 
 
 def _cross(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
@@ -169,25 +171,28 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def _described(text: str, label: str) -> Callable:
+def _described(text: str, key: str, label: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(batch.schema.get_field_index(label))
+            k, y = (batch.column(batch.schema.get_field_index(c)) for c in (key, label))
             for i, j, data, at in steps(batch.column(batch.schema.get_field_index(text))):
                 x = features(data, at)
-                yield pa.RecordBatch.from_arrays([y.slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([k.slice(i, j - i), y.slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "y", "x"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id") -> Model:
     """Fitted on labelled texts: labels has key and label (0 or 1; rows with nulls are left out, several of a key go by their mean,
-    a half as 1). At most about LABELLED keys, drawn by hash, so the join's labelled side has a bound and is broadcast."""
+    a half as 1). At most about LABELLED keys, drawn by hash, so the join's labelled side has a bound and is broadcast, and one row for
+    each of them comes to the driver."""
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("__y"))
     n = known.count()
     share = min(1.0, LABELLED / max(n, 1))
     drawn = known.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    rows = docs.select(key, text).join(F.broadcast(drawn), key).select(text, "__y").mapInArrow(_described(text, "__y"), "y int, x binary").toArrow()
+    rows = docs.select(key, text).join(F.broadcast(drawn), key)
+    rows = rows.mapInArrow(_described(text, key, "__y"), T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())]))
+    rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min("x").alias("x")).toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # the same sums in the same order, however rows arrive
     return fit(x[order], rows["y"].to_numpy().astype(np.float64)[order])
@@ -205,8 +210,10 @@ def _applied(text: str, keep: list[str], model) -> Callable:
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all by default) with score (0 to 1) and predicted (1 from 0.5). Null text counts as empty, which has a score too."""
-    keep = docs.columns if keep is None else keep
+    """The kept columns (all by default) with score (0 to 1) and predicted (1 from 0.5), which take the place of columns of these names.
+
+    Null text counts as empty, which has a score too. Repeated rows each count, null keys stay, an empty table gives none."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_applied(text, keep, docs.sparkSession.sparkContext.broadcast(model)), schema)
 
