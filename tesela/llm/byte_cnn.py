@@ -20,8 +20,11 @@ from .common import raw_text, steps
 WINDOW, WIDTHS, FILTERS, EMBED = 96, (2, 3, 4), 16, 8
 #: Bounds of the sample that the network is trained on: texts of each language (more or less, drawn by hash), windows of a text.
 TEXTS, WINDOWS = 800, 4
+#: Languages at most, those with most texts.
+LANGUAGES = 500
 EPOCHS, BATCH, RATE = 6, 128, 0.004
-UNKNOWN = "und"
+#: What texts without a letter are, and what has letters but no language (if the network is trained to tell).
+UNKNOWN, JUNK = "und", "zxx"
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -109,6 +112,19 @@ class Network:
         return q / q.sum(1, keepdims=True)
 
 
+def noise(windows: np.ndarray, n: int, seed: int = 13) -> np.ndarray:
+    """n windows of no language: half of them given ones with their bytes in another order, the others random letters with spaces, random printable
+    characters, random bytes."""
+    r = np.random.default_rng(seed)
+    mixed = windows[r.integers(0, len(windows), n)].copy()
+    place = np.where(mixed > 0, r.random(mixed.shape), 2.0 + np.arange(mixed.shape[1]))  # what is after the end stays there
+    mixed = np.take_along_axis(mixed, place.argsort(1), 1)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz" * 2 + b"        ", np.uint8)
+    made = [letters[r.integers(0, len(letters), mixed.shape)], r.integers(33, 127, mixed.shape).astype(np.uint8), r.integers(1, 256, mixed.shape).astype(np.uint8)]
+    kind = r.choice(4, n, p=[0.5, 0.25, 0.125, 0.125])
+    return np.where(mixed > 0, np.stack([mixed, *(_FOLD[m] for m in made)])[kind, np.arange(n)], 0).astype(np.uint8)
+
+
 def _sampled(text: str, lang: str, key: str) -> Callable:
     """Rows (lang, window): WINDOWS windows spread over each text."""
 
@@ -126,21 +142,25 @@ def _sampled(text: str, lang: str, key: str) -> Callable:
     return run
 
 
-def train(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network | None:
+def train(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", junk: bool = False) -> Network | None:
     """A network that knows the languages of the rows not held out; None if none has a language and a text.
 
-    Trained on about TEXTS texts of each language (all, if fewer), drawn by a hash of text and key.
+    Trained on about TEXTS texts of each language (all, if fewer), drawn by a hash of text and key. With junk it also knows the class JUNK, from
+    made-up windows, as many as a language has on average.
     """
     known = docs.filter(~held_out & F.col(lang).isNotNull() & (F.length(text) > 0)).select(key, text, lang)
-    sizes = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    sizes = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()}
     if not sizes:
         return None
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, TEXTS / n))))
     drawn = known.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 30)) < share[F.col(lang)] * (1 << 30))
     rows = drawn.mapInArrow(_sampled(text, lang, key), "lang string, window binary").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
     names = sorted(set(rows["lang"].to_pylist()))
-    y = np.searchsorted(np.array(names), np.array(rows["lang"].to_pylist()))
-    x = raw_text(rows["window"])[0].reshape(-1, WINDOW + _EDGE)
+    x, langs = raw_text(rows["window"])[0].reshape(-1, WINDOW + _EDGE), rows["lang"].to_pylist()
+    if junk:
+        made = noise(x, -(-len(x) // len(names)))
+        x, langs, names = np.concatenate([x, made]), langs + [JUNK] * len(made), sorted({*names, JUNK})
+    y = np.searchsorted(np.array(names), np.array(langs))
     return Network(names).fit(x, y).folded()
 
 
@@ -170,9 +190,10 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text", keep:
     """The kept columns of docs (all by default) with lang_pred and score, the mean probability of that language.
 
     A null text or one without a letter is `und` with score 0, as is every text if there is no network. Ties go to the
-    name that sorts first. names are those of the two new columns, and must not be among the kept ones.
+    name that sorts first. names are those of the two new columns, which take the place of kept ones of these names. Repeated rows each
+    count, null keys stay, an empty table gives none.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     need = list(dict.fromkeys([*keep, text]))
     return docs.select(*need).mapInArrow(_predicted(text, keep, docs.sparkSession.sparkContext.broadcast(network), names), schema)
