@@ -36,8 +36,6 @@ FULL = 0.35
 SEGMENT_TOKENS, LEAST_SEGMENTS = 1_000_000, 64
 PROBES = 2
 HEAD = 1 << 19
-#: Weight of the pair's probability in the mixture with the word's own.
-PAIR_WEIGHT = 0.2
 #: Words gathered before a task passes on what it counted.
 FLUSH = 1_500_000
 
@@ -147,7 +145,8 @@ def _built(least: int = 64) -> Callable:
             low.append(k.view(np.uint64).ravel())
             count.append(np.frombuffer(b, np.uint8, offset=6 * n).view(np.uint32))
         keys, which = np.unique(np.concatenate(low), return_inverse=True)
-        q = _levels(np.bincount(which, np.concatenate(count)))
+        counts = np.bincount(which, np.concatenate(count))
+        q = _levels(counts)
         above = np.cumsum(np.bincount(q)[::-1])[::-1]  # how many have a level
         pairs = np.cumsum(above[::-1])[::-1] * PROBES  # bits to set from a level on
         bits = max(least, 64 * ceil(pairs[1] / FULL / 64))
@@ -156,7 +155,7 @@ def _built(least: int = 64) -> Callable:
             k = keys[q >= j]
             for i in range(PROBES):
                 have[_positions(k, j, i, bits).astype(np.int64)] = True
-        return pa.table({"segment": group["segment"][:1], "start": pa.array([1], pa.int32()), "ngrams": pa.array([len(keys)], pa.int64()), "bits": pa.array([np.packbits(have, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"segment": group["segment"][:1], "start": pa.array([1], pa.int32()), "once": pa.array([int((counts == 1).sum())], pa.int64()), "bits": pa.array([np.packbits(have, bitorder="little").tobytes()], pa.binary())})
 
     return run
 
@@ -225,7 +224,7 @@ class _Held:
         self.pair_level += f.levels(self.pairs)
 
 
-def _scored(text: str, key: str, held_out: str, filters: list, head, total: int, distinct: int) -> Callable:
+def _scored(text: str, key: str, held_out: str, filters: list, head, total: int, distinct: int, weight: float) -> Callable:
     room = float(total + distinct + 1)
 
     def scores(x: _Held, rid: int) -> pa.RecordBatch:
@@ -237,7 +236,7 @@ def _scored(text: str, key: str, held_out: str, filters: list, head, total: int,
         last[off[1:] - 1] = first[off[:-1]] = False  # before[t] precedes now[t]
         before, now = word[which[last]], word[which[first]]
         own = (now + 1) / room
-        of_pair = np.where(before > 0, PAIR_WEIGHT, 0.0)
+        of_pair = np.where(before > 0, weight, 0.0)
         p = of_pair * np.minimum(pair, before) / np.maximum(before, 1.0) + (1 - of_pair) * own
         row = np.repeat(np.arange(n), np.diff(off) - 1)
         score = np.bincount(row, np.log10(p), n)
@@ -291,7 +290,8 @@ def lm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id"
 
     held_out: a boolean Column of docs; the model learns from the rows where it is false. score: sum of log10 P(word | word
     before), END included, P(w | u) = r c(u, w) / c(u) + (1 - r) P(w), P(w) = (c(w) + 1) / (N + V + 1), with counts read
-    from the filter, r = PAIR_WEIGHT, and 0 where c(u) is 0. base_score: exact unigrams. Null and empty text is END alone. Without training
+    from the filter. r is the chance that a pair has been seen before, by Good and Turing: 1 less the share of the training
+    pairs that are seen once; 0 where c(u) is 0. base_score: exact unigrams. Null and empty text is END alone. Without training
     rows N = V = 0 and every P(w) is 1. Repeated rows each count; other columns are not used.
     """
     spark = docs.sparkSession
@@ -313,11 +313,14 @@ def lm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id"
 
     segments = max(LEAST_SEGMENTS, 1 << ceil(log2(max(1, total / SEGMENT_TOKENS))))
     parts = docs.select("held_out", text).mapInArrow(_ngrams(text, "held_out", segments), "segment int, blob binary")
-    built = parts.groupBy("segment").applyInArrow(_built(), "segment int, start int, ngrams long, bits binary")
+    built = parts.groupBy("segment").applyInArrow(_built(), "segment int, start int, once long, bits binary")
     built = saved(built, "filter")
     bits = np.zeros(segments, np.int64)
-    for r in built.select("segment", (F.length("bits") * 8).alias("n")).toLocalIterator():
+    once = -vocab.filter("c = 1").count()  # the segments hold words and pairs
+    for r in built.select("segment", "once", (F.length("bits") * 8).alias("n")).collect():  # a row for each segment
         bits[r.segment] = r.n
+        once += r.once
+    weight = min(1.0, max(0.0, 1 - once / total)) if total else 0.0
     filters = []
     for a, b in _blocks(bits):
         filt = Filter(segments, np.where((np.arange(segments) >= a) & (np.arange(segments) < b), bits, 0))
@@ -326,7 +329,7 @@ def lm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id"
         filters.append(sc.broadcast(filt))
 
     out = T.StructType([T.StructField("rid", T.LongType()), T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t()) for n, t in (("held_out", T.BooleanType), ("n_tokens", T.LongType), ("n_head", T.LongType), ("log_head", T.DoubleType), ("score", T.DoubleType))), T.StructField("rare", T.ArrayType(T.LongType()))])
-    scored = saved(docs.mapInArrow(_scored(text, key, "held_out", filters, sc.broadcast((h[order], c[order])), total, distinct), out), "scored")
+    scored = saved(docs.mapInArrow(_scored(text, key, "held_out", filters, sc.broadcast((h[order], c[order])), total, distinct, weight), out), "scored")
     rare = scored.select("rid", F.explode("rare").alias("h")).join(vocab, "h")
     rare = rare.groupBy("rid").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("log_rare"))
     return scored.drop("rare").join(rare, "rid", "left").select(
