@@ -14,6 +14,10 @@ from pyspark.sql.window import Window
 
 from .contract import ACTORS, CITATIONS, CONDITIONS, EXEMPT, FLOORS, LEVELS, LOG_LINE, RESERVED, SENTINELS
 
+#: The target of an inline link, a heading with its text, and a slot that a template leaves to be filled in.
+TARGET = r"\]\(\s*<?([^\s<>()]+)>?(?:\s[^()]*)?\)"
+HEADED = r"^ {0,3}#{1,6}[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$"
+SLOT = r"<\s*[^\s<>/!][^<>]+>|(?<!\w)TODO(?!\w)"
 DATE = r"^\d{4}-\d{2}-\d{2}$"
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 RULES: dict = {}
@@ -44,7 +48,7 @@ class Context:
         self.meta = {k: self.typed.filter(F.col("type") == k).select("path", "keys", "body_hash", F.from_json("meta", self.contract.json_struct(k)).alias("m")) for k in self.contract.types}
         self.paths = self.all.select(F.col("path").alias("target"), F.col("type").alias("target_type"))
         self.lines = self.typed.select("path", F.explode("lines").alias("l")).select("path", "l.line", "l.text")
-        link = F.explode(F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)))
+        link = F.explode(F.regexp_extract_all("text", F.lit(TARGET), F.lit(1)))
         self.links = self.lines.select("path", "line", link.alias("to"))
 
     def fields(self, *kinds: str):
@@ -150,8 +154,8 @@ def declared(x):
 def filled_in(x):
     """The first open slot of a body, and slots in front matter. Comments are taken away line by line."""
     clean = F.regexp_replace("text", "<!--.*?-->", "")
-    first = x.lines.filter(clean.rlike(r"<[^<>\n]{2,}>") | clean.rlike(r"\bTODO\b")).groupBy("path").agg(F.min("line").alias("line"))
-    return _both(found(first, "V9", "error", "a slot that is not filled in", "line"), found(x.typed.filter(F.col("meta").rlike(r"<[^<>\n]{2,}>|\bTODO\b")), "V9", "error", "a slot in the front matter"))
+    first = x.lines.filter(clean.rlike(SLOT)).groupBy("path").agg(F.min("line").alias("line"))
+    return _both(found(first, "V9", "error", "a slot that is not filled in", "line"), found(x.typed.filter(F.col("meta").rlike(SLOT)), "V9", "error", "a slot in the front matter"))
 
 
 def _targets(x) -> DataFrame:
@@ -234,7 +238,7 @@ def periods(x):
 def citations(x):
     """Links under the heading of citations (the last heading above them) that lead nowhere."""
     upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.last(F.when(F.col("text").rlike(r"^#{1,6}\s+\S"), F.regexp_extract("text", r"^#{1,6}\s+(.*?)\s*#*\s*$", 1)), ignorenulls=True).over(upto)
+    head = F.last(F.when(F.col("text").rlike(HEADED), F.regexp_extract("text", HEADED, 1)), ignorenulls=True).over(upto)
     cited = x.lines.withColumn("head", head).filter(F.col("head") == CITATIONS).select("path", "line")
     return found(_targets(x).join(cited, ["path", "line"], "left_semi").join(x.paths, "target", "left_anti"), "V22", "error", F.concat(F.lit("cites what is not there: "), "to"), "line")
 

@@ -12,8 +12,9 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
-from datetime import date, timedelta
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
+from pathlib import PurePosixPath
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
@@ -100,16 +101,16 @@ def pptx(data: bytes):
 # ------------------------------------------------ xlsx
 
 def column_index(ref: str) -> int:
-    """Position from 0 of a cell reference such as AB12."""
-    n = 0
-    for c in re.match(r"[A-Z]+", ref)[0]:
-        n = n * 26 + ord(c) - 64
-    return n - 1
+    """Position from 0 of a cell reference such as AB12: its letters are digits from 1 to 26."""
+    letters = ref.rstrip("0123456789")
+    return sum((ord(c) - ord("A") + 1) * 26**place for place, c in enumerate(reversed(letters))) - 1
 
 
 def serial_date(serial: float, from_1904: bool = False) -> str:
-    day = (date(1904, 1, 1) if from_1904 else date(1899, 12, 30)) + timedelta(days=int(serial))
-    return day.isoformat()
+    """A spreadsheet's day number as a date, with the time of day where it has one."""
+    when = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+    when += timedelta(seconds=round(serial * 86_400))
+    return when.date().isoformat() if serial == int(serial) else when.isoformat(" ", "minutes" if when.second == 0 else "seconds")
 
 
 #: Built-in number formats that are dates. Fixed values.
@@ -179,8 +180,10 @@ def drawio(data: bytes):
             ident, text = e.get("id") or cell.get("id"), label(e.get("label") or e.get("value") or "")
             if cell.get("edge") == "1":
                 edges.append((cell.get("source"), cell.get("target"), text))
-            elif cell.get("vertex") == "1" and text and ident not in nodes:
+            elif cell.get("vertex") == "1" and ident not in nodes:
                 nodes[ident] = text
+        linked = {end for a, b, _ in edges for end in (a, b)}
+        nodes = {k: t or "·" for k, t in nodes.items() if t or k in linked}  # a node without a label counts where something leads to it
         name = {k: re.sub(r"\W", "_", f"n{k}", flags=re.A) for k in nodes}
         lines = [f'    {name[k]}["{t}"]' for k, t in nodes.items()]
         lines += [f"    {name[a]} -->{f'|{t}|' if t else ''} {name[b]}" for a, b, t in edges if a in name and b in name]
@@ -190,45 +193,65 @@ def drawio(data: bytes):
 
 # ------------------------------------------------ html, yaml, pdf
 
-class _Blocks(HTMLParser):
-    """Gathers (prefix, text) blocks outside of noise."""
+class _Events(HTMLParser):
+    """The tags and texts of a page in order: (tag, opens, text)."""
 
     def __init__(self):
         super().__init__()
-        self.blocks: list[list[str]] = [["", ""]]
-        self.off = self.dropped = 0
+        self.all: list[tuple[str, bool, str]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in NOISE:
-            self.off += 1
-            self.dropped += 1
-        elif not self.off and (tag in BLOCKS or tag == "li" or re.fullmatch("h[1-6]", tag)):
-            self.blocks.append(["- " if tag == "li" else "#" * int(tag[1]) + " " if tag[0] == "h" else "", ""])
+        self.all.append((tag, True, ""))
 
     def handle_endtag(self, tag):
-        if tag in NOISE:
-            self.off = max(0, self.off - 1)
-        elif not self.off and (tag in BLOCKS or tag == "li" or re.fullmatch("h[1-6]", tag)):
-            self.blocks.append(["", ""])
+        self.all.append((tag, False, ""))
 
     def handle_data(self, data):
-        if not self.off:
-            self.blocks[-1][1] += data
+        self.all.append(("", False, data))
+
+
+def _spans(events: list[tuple[str, bool, str]], names: frozenset[str]) -> list[tuple[int, int]]:
+    """(start, end) of each element of some names that is closed, by the place of its tags; one that is not closed is passed over."""
+    open_at: dict[str, list[int]] = {}
+    out = []
+    for i, (tag, opens, _) in enumerate(events):
+        if tag in names:
+            if opens:
+                open_at.setdefault(tag, []).append(i)
+            elif open_at.get(tag):
+                out.append((open_at[tag].pop(), i))
+    return sorted(out)
 
 
 def page(data: bytes):
-    source, warnings = data.decode("utf-8", "replace"), []
-    if m := re.search(r"<(main|article)\b[^>]*>(.*?)</\1>", source, re.S | re.I):
-        source = m[2]
-        warnings.append(f"only the part marked {m[1].lower()}")
-    reader = _Blocks()
-    reader.feed(source)
+    """The page's main part (its first main or article, with all that is nested in it) or all of it, without what is no content."""
+    reader, warnings = _Events(), []
+    reader.feed(data.decode("utf-8", "replace"))
     reader.close()
-    if reader.dropped:
-        warnings.append(f"{reader.dropped} parts of the page's frame left out")
-    blocks = [(p, re.sub(r"\s+", " ", t).strip()) for p, t in reader.blocks]
+    events = reader.all
+    marked = _spans(events, frozenset(("main", "article")))
+    if marked:
+        a, b = marked[0]
+        warnings.append(f"only the part marked {events[a][0]}")
+        events = events[a + 1 : b]
+    noise = _spans(events, NOISE)
+    silent = [0] * (len(events) + 1)
+    for a, b in noise:
+        silent[a] += 1
+        silent[b + 1] -= 1
+    blocks, depth = [["", ""]], 0
+    for (tag, opens, text), step in zip(events, silent, strict=False):
+        depth += step
+        if depth:
+            continue
+        heading = re.fullmatch("h([1-6])", tag)
+        if tag in BLOCKS or tag == "li" or heading:
+            blocks.append(["#" * int(heading[1]) + " " if heading and opens else "- " if tag == "li" and opens else "", ""])
+        blocks[-1][1] += text
+    if noise:
+        warnings.append(f"{len(noise)} parts of the page's frame left out")
     lines: list[str] = []
-    for prefix, text in blocks:
+    for prefix, text in ((p, " ".join(t.split())) for p, t in blocks):
         if text:  # items of a list follow each other without a blank line
             near = prefix == "- " and lines and lines[-1].lstrip("\n").startswith("- ")
             lines.append(("" if not lines else "\n" if near else "\n\n") + prefix + text)
@@ -253,11 +276,14 @@ READERS = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "drawio": drawio, "html": p
 
 
 def title_of(name: str) -> str:
-    """A title from a file name: without a date before it and a hexadecimal suffix that has a digit."""
-    stem = re.sub(r"^\d{4}-\d{2}-\d{2}[-_ ]*", "", name.rsplit("/", 1)[-1].rsplit(".", 1)[0])
-    stem = re.sub(r"[-_](?=[0-9a-f]*\d)[0-9a-f]{6,}$", "", stem)
-    text = re.sub(r"[-_]+", " ", stem).strip()
-    return text[:1].upper() + text[1:]
+    """A title from a file name: its words, without a date in front and an identifier in hexadecimal at the end."""
+    words = [w for w in re.split(r"[-_\s]+", PurePosixPath(name).stem) if w]
+    if len(words) > 3 and [len(w) for w in words[:3]] == [4, 2, 2] and "".join(words[:3]).isdigit():
+        words = words[3:]
+    if len(words) > 1 and len(words[-1]) >= 6 and set(words[-1]) <= set("0123456789abcdef") and not words[-1].isalpha():
+        words.pop()
+    title = " ".join(words)
+    return title[:1].upper() + title[1:]
 
 
 def converted(name: str, data: bytes) -> tuple[str, list[str], str]:
@@ -291,9 +317,9 @@ def convert(files: DataFrame, path: str = "path", content: str = "content") -> D
 
 def as_document(title: str, kind: str, text: str, original: str, made_at: str) -> str:
     """A converted text as a document with front matter."""
-    from .markdown import body_hash, quoted
+    from .markdown import body_hash, written
 
     body = f"# {title}\n\n{text}\n"
     head = {"type": kind, "title": title, "description": f"Convertido de {original}", "tags": "[]", "classification": "confidential", "generated": "{by: process:convert, at: " + made_at + "}", "resumen": text[:200].replace("\n", " ").strip() or title, "resumen_hash": body_hash(body), "procedencia": "fuente", "proyecto": "transversal", "original": original}
-    return "---\n" + "\n".join(f"{k}: {v if k in ('tags', 'generated') else quoted(v)}" for k, v in head.items()) + f"\n---\n\n{body}"
+    return "---\n" + "\n".join(f"{k}: {v if k in ('tags', 'generated') else written(v)}" for k, v in head.items()) + f"\n---\n\n{body}"
 
