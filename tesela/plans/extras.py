@@ -276,7 +276,7 @@ def content_sha256(c, p):
 def manifest(c, p):
     """What a manifest of inputs (here made of their rows, some left out or changed) says against the inputs there are."""
     real = c["insumo"].join(c["documentos"].select(F.col("path").alias("doc"), "hash"), "doc").select("doc", "hash")
-    n = F.pmod(F.crc32(F.col("doc").cast("binary")), F.lit(10))
+    n = F.regexp_extract("doc", r"(\d+)\.md$", 1).try_cast("long") % 10
     stated = real.filter(n != 0).select(F.when(n == 1, F.concat("doc", F.lit(".old"))).otherwise(F.col("doc")).alias("doc"), F.when(n == 2, "").when(n == 3, F.reverse("hash")).otherwise(F.col("hash")).alias("stated"))
     state = F.when(F.col("stated").isNull(), "orphan").when(F.col("hash").isNull(), "missing").when(F.col("stated") == "", "no hash").when(F.col("stated") == F.col("hash"), "ok").otherwise("changed")
     return stated.join(real, "doc", "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
@@ -286,10 +286,10 @@ def manifest(c, p):
 def diff(c, p):
     from .incremental import difference
 
-    now = c["documentos"].select("path", "hash")
-    n = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(10))
+    now = c["documentos"].select("path", "hash", (F.length("title") % 4).alias("n"))
+    n = F.col("n")
     before = now.filter(n != 0).select(F.when(n == 1, F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"), F.when(n == 2, "x").otherwise(F.col("hash")).alias("hash"))
-    return difference(before, now).groupBy("state").agg(F.count("*").alias("n"))
+    return difference(before, now.drop("n")).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @extra("place_documents")

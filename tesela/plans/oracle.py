@@ -16,29 +16,29 @@ _SOURCES = {
         {_C.format("case when c_custkey % 150 = 7 then -1 when c_custkey % 200 = 0 then c_custkey + 10 when c_custkey % 200 = 10 then c_custkey - 10 when c_custkey % 10 <> 0 then c_custkey - c_custkey % 10 end")} reports_to
         from customer, nation where c_nationkey = n_nationkey""",
     "sistema": f"""select '03-recursos/sistemas/s' || s_suppkey || '.md' doc, s_suppkey num, s_name title, s_name cuerpo, case when s_suppkey % 2 = 0 then {_C.format("1 + s_suppkey % 100")} else n_name end owner,
-        {_nth("s_suppkey", "sistema", "herramienta", "producto", "proceso")} categoria, {_nth("s_suppkey", "activo", "en-cambio", "deprecado")} estado from supplier, nation where s_nationkey = n_nationkey""",
-    "iniciativa": f"""select '01-proyectos/p' || p_partkey || '/CONTEXT.md' doc, p_partkey num, p_name title, p_type cuerpo, 'p' || p_partkey proyecto, {_nth("p_partkey", "proyecto-asignado", "objetivo-personal", "objetivo-equipo")} origen,
-        '2026-Q' || (1 + p_size % 4) periodo, {_nth("p_partkey", "iniciando", "en-progreso", "bloqueada", "entregada")} estado from part""",
+        case when s_suppkey % 10 = 3 then 'otra' else {_nth("s_suppkey", "sistema", "herramienta", "producto", "proceso")} end categoria, {_nth("s_suppkey", "activo", "en-cambio", "deprecado")} estado from supplier, nation where s_nationkey = n_nationkey""",
+    "iniciativa": f"""select '01-proyectos/p' || p_partkey || '/CONTEXT.md' doc, p_partkey num, p_name title, p_type cuerpo, 'p' || case when p_partkey % 500 = 3 then p_partkey - 1 else p_partkey end proyecto, {_nth("p_partkey", "proyecto-asignado", "objetivo-personal", "objetivo-equipo")} origen,
+        case when p_partkey % 180 = 9 then 'Q' || (1 + p_size % 4) || '-2026' else '2026-Q' || (1 + p_size % 4) end periodo, {_nth("p_partkey", "iniciando", "en-progreso", "bloqueada", "entregada")} estado from part""",
     "decision": """select '01-proyectos/p' || (1 + o_orderkey % 200) || '/02-decisiones/dec-' || o_orderkey || '.md' doc, o_orderkey num, 'Decision ' || o_orderkey title, o_orderpriority cuerpo, 'p' || (1 + o_orderkey % 200) proyecto,
         case o_orderstatus when 'P' then 'propuesta' else 'aceptada' end estado, strftime(o_orderdate, '%Y-%m-%d') fecha, strftime(o_orderdate, '%Y-%m-%d') valido_desde,
         case when o_orderkey % 3 in (0, 1) then strftime(o_orderdate + interval 90 day, '%Y-%m-%d') end valido_hasta,
         case when o_orderkey % 3 = 0 or o_orderkey % 303 = 2 then '/01-proyectos/p' || (1 + (o_orderkey + 1) % 200) || '/02-decisiones/dec-' || (o_orderkey + 1) || '.md' end reemplazada_por, o_custkey custkey from orders""",
     "pregunta": f"""select '01-proyectos/p' || (1 + o_orderkey % 200) || '/04-preguntas/q' || o_orderkey || '.md' doc, o_orderkey num, 'Pregunta ' || o_orderkey title, o_orderpriority cuerpo, 'p' || (1 + o_orderkey % 200) proyecto,
         case when o_orderstatus = 'O' then 'abierta' when o_orderstatus = 'P' then 'en-progreso' else 'respondida' end estado, case when o_orderkey % 5 = 0 then null when o_orderkey % 7 = 0 then ' ' else {_C.format("o_custkey")} end responsable,
-        case when left(o_orderpriority, 1) in ('1', '2') then 1 else 0 end bloqueante, strftime(o_orderdate, '%Y-%m-%d') created, case when o_orderstatus not in ('O', 'P') then {_C.format("1 + o_orderkey % 100")} end respondida_por from orders""",
+        case when left(o_orderpriority, 1) in ('1', '2') then 1 else 0 end bloqueante, strftime(o_orderdate, '%Y-%m-%d') created, case when o_orderstatus not in ('O', 'P') and o_orderkey % 50 <> 3 then {_C.format("1 + o_orderkey % 100")} end respondida_por from orders""",
     "lineamiento": """select '02-areas/' || lower(r_name) || '/lin-' || s_suppkey || '.md' doc, s_suppkey num, 'Lineamiento ' || s_suppkey title, n_name cuerpo, lower(r_name) area, 'norma ' || n_name fuente, case when s_suppkey % 5 = 0 then 'en-revision' else 'aprobado' end estado,
         case when s_suppkey % 4 <> 0 then '2025-' || m || '-10' end fecha, '2025-' || m || '-15' valido_desde, case when s_suppkey % 3 <> 0 then '2026-' || m || '-15' end valido_hasta,
         case when s_suppkey % 6 = 1 or s_suppkey % 6 = 3 then '/02-areas/' || lower(r_name) || '/lin-' || (s_suppkey + 1) || '.md' end reemplazada_por
         from (select *, lpad(cast(1 + s_suppkey % 12 as varchar), 2, '0') m from supplier) join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "reunion": f"""select '01-proyectos/p' || (1 + conv_id % 200) || '/01-reuniones/r' || conv_id || '.md' doc, conv_id num, 'Reunion ' || conv_id title, count(*) || ' turnos' cuerpo, 'p' || (1 + conv_id % 200) proyecto, {_DAY.format("conv_id")} fecha from conversations group by conv_id""",
     "plan": f"""select '01-proyectos/p' || p_partkey || '/PLAN.md' doc, p_partkey num, 'Plan ' || p_partkey title, p_brand cuerpo, 'p' || p_partkey proyecto, case when p_partkey % 3 = 0 then 'externa' else 'cerebro' end source_of_truth,
-        case when p_partkey % 3 = 0 then 'https://tracker.example/' || p_partkey end external_tracker, {_DAY.format("p_partkey")} last_review from part""",
+        case when p_partkey % 3 = 0 and p_partkey % 90 <> 0 then 'https://tracker.example/' || p_partkey end external_tracker, {_DAY.format("p_partkey")} last_review from part""",
     "diagrama": f"""select '01-proyectos/p' || (1 + p_partkey % 200) || '/05-diagramas/g' || p_partkey || '.md' doc, p_partkey num, 'Diagrama ' || p_partkey title, p_brand cuerpo, 'p' || (1 + p_partkey % 200) proyecto,
         {_nth("p_partkey", "flujo", "proceso", "secuencia", "entidades", "organizacion", "arquitectura", "cronograma", "otro")} clase, 'v' || lpad(cast(p_size as varchar), 2, '0') version from part""",
     "playbook": "select '03-recursos/playbooks/b' || s_suppkey || '.md' doc, s_suppkey num, 'Playbook ' || s_suppkey title, s_name cuerpo, 'p' || (1 + s_suppkey % 200) proyecto from supplier",
     "glosario": "select '03-recursos/glosario/' || lower(r_name) || '.md' doc, cast(r_regionkey as bigint) num, r_name title, r_name cuerpo from region",
     "analisis": f"select '01-proyectos/p' || (1 + doc_id % 200) || '/03-analisis/a' || doc_id || '.md' doc, doc_id num, 'Analisis ' || doc_id title, text cuerpo, 'p' || (1 + doc_id % 200) proyecto, {_DAY.format('doc_id')} fecha, lang, source from documents",
-    "insumo": "select '01-proyectos/p' || (1 + page_id % 200) || '/00-insumos/i' || page_id || '.md' doc, page_id num, 'Insumo ' || page_id title, url cuerpo, 'p' || (1 + page_id % 200) proyecto, 'html' formato, url original from pages",
+    "insumo": "select '01-proyectos/p' || (1 + page_id % 200) || '/00-insumos/i' || page_id || '.md' doc, page_id num, 'Insumo ' || page_id title, url cuerpo, 'p' || (1 + page_id % 200) proyecto, 'html' formato, case when page_id % 20 <> 7 then url end original from pages",
 }
 _OWN = {
     "analisis": "doc, proyecto, fecha", "decision": "doc, proyecto, estado, fecha, valido_desde, valido_hasta, reemplazada_por", "diagrama": "doc, proyecto, clase, version", "glosario": "doc", "iniciativa": "doc, proyecto, origen, periodo, estado", "insumo": "doc, proyecto, formato, original",
@@ -65,15 +65,15 @@ _WORDS = "list_concat(list_concat({0}, {1}), list_concat({2}, {3}))".format(*(_T
 _CTES = {f"src_{k}": v for k, v in _SOURCES.items()} | {k: f"select {_OWN[k]} from src_{k}" for k in _SOURCES} | {
     "todo": _documents(),
     "documentos": "select * exclude (cuerpo) from todo",
-    "documentos_tags": f"select doc, 0 idx, lang as value from src_analisis where lang is not null union all select doc, 1, source from src_analisis where source is not null union all select doc, 0, {_nth('num', 'erp', 'compras', 'ventas')} from src_playbook",
-    "documentos_verified": "select '01-proyectos/p' || (1 + doc_id % 200) || '/03-analisis/a' || doc_id || '.md' doc, 0 idx, case when max(quality) = 1 then 'human:rev' || doc_id % 9 else 'process:auto' end as \"by\", '2026-02-01T00:00:00Z' as \"at\" from labels group by doc_id",
+    "documentos_tags": f"select doc, 0 idx, lang as value from src_analisis where lang is not null union all select doc, 1, source from src_analisis where source is not null union all select doc, 0, {_nth('num', 'erp', 'compras', 'ventas')} from src_playbook union all select doc, 0, 'otra' from src_playbook where num % 10 = 4",
+    "documentos_verified": "select '01-proyectos/p' || (1 + doc_id % 200) || '/03-analisis/a' || case when doc_id % 25 = 7 then 'x' else '' end || doc_id || '.md' doc, 0 idx, case when max(quality) = 1 then 'human:rev' || doc_id % 9 else 'process:auto' end as \"by\", '2026-02-01T00:00:00Z' as \"at\" from labels group by doc_id",
     "documentos_sources": """select doc, 0 idx, case when num % 50 = 0 then ' ' when num % 3 = 0 then '/01-proyectos/p' || (1 + num % 200) || '/CONTEXT.md' else 'https://' || source || '/' || num end resource, source id, cast(null as varchar) title, cast(null as varchar) author, cast(null as varchar) last_modified from src_analisis
         union all select doc, 0, '/01-proyectos/p' || (1 + num % 200) || '/CONTEXT.md', null, fuente, null, fecha from src_lineamiento""",
     "decision_decisores": f"select doc, 0 idx, case when num % 500 = 1 then 'comite' else {_C.format('custkey')} end as value from src_decision union all select doc, 1, {_C.format('1 + num % 100')} from src_decision where num % 2 = 0",
     "iniciativa_sistemas": "select '01-proyectos/p' || l_partkey || '/CONTEXT.md' doc, row_number() over (partition by l_partkey order by l_suppkey) - 1 idx, '/03-recursos/sistemas/s' || l_suppkey || '.md' as value from (select distinct l_partkey, l_suppkey from lineitem)",
     "iniciativa_personas": f"select '01-proyectos/p' || l_partkey || '/CONTEXT.md' doc, row_number() over (partition by l_partkey order by o_custkey) - 1 idx, {_C.format('o_custkey')} as value from (select distinct l_partkey, o_custkey from lineitem join orders on l_orderkey = o_orderkey)",
     "reunion_asistentes": f"select '01-proyectos/p' || (1 + conv_id % 200) || '/01-reuniones/r' || conv_id || '.md' doc, turn idx, case when min(role) = 'user' then {_C.format('1 + conv_id % 100')} else 'rol:' || min(role) end as value from conversations group by conv_id, turn",
-    "consultas": f"select conv_id + 1 linea, {_DAY.format('conv_id')} fecha, count(*) docs, count(*) filter (role = 'user') completos, count(*) filter (role = 'assistant' and length(text) > 200) citados, {_nth('conv_id', 'directa', 'explorar', 'sintesis')} modo, conv_id % 2 archivada from conversations group by conv_id",
+    "consultas": f"select conv_id + 1 linea, {_DAY.format('conv_id')} fecha, count(*) docs, count(*) filter (role = 'user') completos, case when conv_id % 37 = 5 then count(*) filter (role = 'user') + 1 else count(*) filter (role = 'assistant' and length(text) > 200) end citados, {_nth('conv_id', 'directa', 'explorar', 'sintesis')} modo, conv_id % 2 archivada from conversations group by conv_id",
     "eventos": " union all ".join(f"select t.{f} fecha, '{n.capitalize()}' tipo, '{f}' campo, t.doc, title, {'null' if n == 'lineamiento' else 't.proyecto'} proyecto from {n} t join documentos on path = t.doc" for n, f in _DATED),
     "documento_proyecto": " union all ".join(f"select doc, proyecto from {n}" for n in ("analisis", "decision", "diagrama", "iniciativa", "insumo", "plan", "playbook", "pregunta", "reunion")),
     "vigencia": " union all ".join(f"select t.doc, '{n.capitalize()}' tipo, title, valido_desde, valido_hasta, reemplazada_por, estado, case when valido_hasta is null then 'vigente' when reemplazada_por is null then 'caducada' else 'reemplazada' end vigencia from {n} t join documentos on path = t.doc" for n in ("decision", "lineamiento")),
@@ -197,6 +197,11 @@ QUERIES |= _RULES | {
     "survey_totals": "select count(*) docs, sum(length(cuerpo) // 4) tokens, max(length(cuerpo) // 4) largest, max(len(string_split(path, '/'))) depth from todo",
     "survey_cost": "select sum(2 * t) derived, sum(t) filter (r <= 5) top5, count(*) docs, case when count(*) < 200 then 'unreliable' else 'measured' end verdict from (select length(cuerpo) // 4 t, row_number() over (order by length(cuerpo) // 4 desc, path) r from todo)",
     "survey_link_classes": "select case when contains(l, '://') then 'external' when path is not null then 'bundle' when l like '/%' then 'missing' else 'relative' end kind, count(*) n from (select trim(resource) l from documentos_sources union all select reemplazada_por from decision union all select reemplazada_por from lineamiento) left join documentos on '/' || path = l where l <> '' group by 1",
+    "raw_manifest_check": """select case when s.doc is null then 'orphan' when r.doc is null then 'missing' when stated = '' then 'no hash' when stated = r.hash then 'ok' else 'changed' end state, count(*) n
+        from (select case when n = 1 then doc || '.old' else doc end doc, case when n = 2 then '' when n = 3 then reverse(hash) else hash end stated from (select doc, num % 10 n, sha256(doc || '|' || title) hash from src_insumo) where n <> 0) s
+        full join (select doc, sha256(doc || '|' || title) hash from src_insumo) r on r.doc = s.doc group by 1""",
+    "diff_new_changed_gone": """select case when b.path is null then 'new' when a.path is null then 'gone' when a.hash = b.hash then 'same' else 'changed' end state, count(*) n from documentos a
+        full join (select case when n = 1 then path || '.old' else path end path, case when n = 2 then 'x' else hash end hash from (select path, hash, length(title) % 4 n from documentos) where n <> 0) b on b.path = a.path group by 1""",
     "content_sha256": "select path, sha256(cuerpo) sha256 from todo",
     "place_documents": """select type, regexp_full_match(regexp_extract(path, '^(.*)/[^/]*$', 1), case type when 'Iniciativa' then '01-proyectos/[^/]+' when 'Plan' then '01-proyectos/[^/]+' when 'Insumo' then '01-proyectos/[^/]+/00-insumos' when 'Reunion' then '01-proyectos/[^/]+/01-reuniones' when 'Decision' then '01-proyectos/[^/]+/02-decisiones'
         when 'Analisis' then '01-proyectos/[^/]+/03-analisis' when 'Pregunta' then '01-proyectos/[^/]+/04-preguntas' when 'Diagrama' then '01-proyectos/[^/]+/05-diagramas' when 'Persona' then '02-areas/personas' when 'Lineamiento' then '02-areas/[^/]+' when 'Sistema' then '03-recursos/sistemas' when 'Playbook' then '03-recursos/playbooks' else '03-recursos/glosario' end) placed, count(*) n from documentos group by 1, 2""",

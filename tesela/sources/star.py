@@ -1,6 +1,7 @@
 """The 22 tables of the corpus model, mapped from the star-schema tables by arithmetic on keys.
 
-Every row of a source table gives a row of the model; some key remainders carry the defects that the checks look for. All are lazy
+Every row of a source table gives a row of the model; some key remainders carry the defects that the checks and constraints look for: two
+initiatives of one project, a period, a category and a log count that can't be, keys that repeat or lead nowhere, values that are missing. All are lazy
 DataFrames: what a query does not use, Catalyst leaves out.
 """
 
@@ -54,10 +55,10 @@ class Star:
 
     def _src_sistema(self) -> DataFrame:
         rows = self.raw("supplier").join(self._nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        return rows.selectExpr("concat('03-recursos/sistemas/s', s_suppkey, '.md') doc", "s_suppkey num", "s_name title", "s_name cuerpo", f"if(s_suppkey % 2 = 0, {_PERSON.format('1 + s_suppkey % 100')}, n_name) owner", f"{_pick('s_suppkey', 'sistema', 'herramienta', 'producto', 'proceso')} categoria", f"{_pick('s_suppkey', 'activo', 'en-cambio', 'deprecado')} estado")
+        return rows.selectExpr("concat('03-recursos/sistemas/s', s_suppkey, '.md') doc", "s_suppkey num", "s_name title", "s_name cuerpo", f"if(s_suppkey % 2 = 0, {_PERSON.format('1 + s_suppkey % 100')}, n_name) owner", f"if(s_suppkey % 10 = 3, 'otra', {_pick('s_suppkey', 'sistema', 'herramienta', 'producto', 'proceso')}) categoria", f"{_pick('s_suppkey', 'activo', 'en-cambio', 'deprecado')} estado")
 
     def _src_iniciativa(self) -> DataFrame:
-        return self.raw("part").selectExpr("concat('01-proyectos/p', p_partkey, '/CONTEXT.md') doc", "p_partkey num", "p_name title", "p_type cuerpo", "concat('p', p_partkey) proyecto", f"{_pick('p_partkey', 'proyecto-asignado', 'objetivo-personal', 'objetivo-equipo')} origen", "concat('2026-Q', 1 + p_size % 4) periodo", f"{_pick('p_partkey', 'iniciando', 'en-progreso', 'bloqueada', 'entregada')} estado")
+        return self.raw("part").selectExpr("concat('01-proyectos/p', p_partkey, '/CONTEXT.md') doc", "p_partkey num", "p_name title", "p_type cuerpo", "concat('p', if(p_partkey % 500 = 3, p_partkey - 1, p_partkey)) proyecto", f"{_pick('p_partkey', 'proyecto-asignado', 'objetivo-personal', 'objetivo-equipo')} origen", "if(p_partkey % 180 = 9, concat('Q', 1 + p_size % 4, '-2026'), concat('2026-Q', 1 + p_size % 4)) periodo", f"{_pick('p_partkey', 'iniciando', 'en-progreso', 'bloqueada', 'entregada')} estado")
 
     def _src_decision(self) -> DataFrame:
         rows = self.raw("orders").withColumn("day", F.to_date("o_orderdate"))
@@ -71,7 +72,7 @@ class Star:
         return self.raw("orders").selectExpr(
             "concat('01-proyectos/p', 1 + o_orderkey % 200, '/04-preguntas/q', o_orderkey, '.md') doc", "o_orderkey num", "concat('Pregunta ', o_orderkey) title", "o_orderpriority cuerpo", "concat('p', 1 + o_orderkey % 200) proyecto",
             "case o_orderstatus when 'O' then 'abierta' when 'P' then 'en-progreso' else 'respondida' end estado", f"case when o_orderkey % 5 = 0 then null when o_orderkey % 7 = 0 then ' ' else {_PERSON.format('o_custkey')} end responsable",
-            "cast(substr(o_orderpriority, 1, 1) in ('1', '2') as int) bloqueante", "date_format(o_orderdate, 'yyyy-MM-dd') created", f"if(o_orderstatus not in ('O', 'P'), {_PERSON.format('1 + o_orderkey % 100')}, null) respondida_por",
+            "cast(substr(o_orderpriority, 1, 1) in ('1', '2') as int) bloqueante", "date_format(o_orderdate, 'yyyy-MM-dd') created", f"if(o_orderstatus not in ('O', 'P') and o_orderkey % 50 <> 3, {_PERSON.format('1 + o_orderkey % 100')}, null) respondida_por",
         )
 
     def _src_lineamiento(self) -> DataFrame:
@@ -91,7 +92,7 @@ class Star:
         return self._talks.selectExpr("concat('01-proyectos/p', 1 + conv_id % 200, '/01-reuniones/r', conv_id, '.md') doc", "conv_id num", "concat('Reunion ', conv_id) title", "concat(docs, ' turnos') cuerpo", "concat('p', 1 + conv_id % 200) proyecto", f"{_DAY.format('conv_id')} fecha")
 
     def _src_plan(self) -> DataFrame:
-        return self.raw("part").selectExpr("concat('01-proyectos/p', p_partkey, '/PLAN.md') doc", "p_partkey num", "concat('Plan ', p_partkey) title", "p_brand cuerpo", "concat('p', p_partkey) proyecto", "if(p_partkey % 3 = 0, 'externa', 'cerebro') source_of_truth", "if(p_partkey % 3 = 0, concat('https://tracker.example/', p_partkey), null) external_tracker", f"{_DAY.format('p_partkey')} last_review")
+        return self.raw("part").selectExpr("concat('01-proyectos/p', p_partkey, '/PLAN.md') doc", "p_partkey num", "concat('Plan ', p_partkey) title", "p_brand cuerpo", "concat('p', p_partkey) proyecto", "if(p_partkey % 3 = 0, 'externa', 'cerebro') source_of_truth", "if(p_partkey % 3 = 0 and p_partkey % 90 <> 0, concat('https://tracker.example/', p_partkey), null) external_tracker", f"{_DAY.format('p_partkey')} last_review")
 
     def _src_diagrama(self) -> DataFrame:
         clase = _pick("p_partkey", "flujo", "proceso", "secuencia", "entidades", "organizacion", "arquitectura", "cronograma", "otro")
@@ -107,7 +108,7 @@ class Star:
         return self.raw("documents").selectExpr("concat('01-proyectos/p', 1 + doc_id % 200, '/03-analisis/a', doc_id, '.md') doc", "doc_id num", "concat('Analisis ', doc_id) title", "text cuerpo", "concat('p', 1 + doc_id % 200) proyecto", f"{_DAY.format('doc_id')} fecha", "lang", "source")
 
     def _src_insumo(self) -> DataFrame:
-        return self.raw("pages").selectExpr("concat('01-proyectos/p', 1 + page_id % 200, '/00-insumos/i', page_id, '.md') doc", "page_id num", "concat('Insumo ', page_id) title", "url cuerpo", "concat('p', 1 + page_id % 200) proyecto", "'html' formato", "url original")
+        return self.raw("pages").selectExpr("concat('01-proyectos/p', 1 + page_id % 200, '/00-insumos/i', page_id, '.md') doc", "page_id num", "concat('Insumo ', page_id) title", "url cuerpo", "concat('p', 1 + page_id % 200) proyecto", "'html' formato", "if(page_id % 20 = 7, null, url) original")
 
     def source(self, kind: str) -> DataFrame:
         return getattr(self, f"_src_{kind.lower()}")()
@@ -152,12 +153,13 @@ class Star:
     @cached_property
     def documentos_tags(self) -> DataFrame:
         of_text = self.source("Analisis").select("doc", F.posexplode(F.array("lang", "source")).alias("idx", "value")).filter("value is not null")
-        return of_text.unionByName(self.source("Playbook").selectExpr("doc", "0 idx", f"{_pick('num', 'erp', 'compras', 'ventas')} value"))
+        of_playbooks = self.source("Playbook").withColumn("again", F.explode(F.expr("if(num % 10 = 4, array(0, 1), array(0))")))
+        return of_text.unionByName(of_playbooks.selectExpr("doc", "0 idx", f"if(again = 1, 'otra', {_pick('num', 'erp', 'compras', 'ventas')}) value"))
 
     @cached_property
     def documentos_verified(self) -> DataFrame:
         rows = self.raw("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        return rows.selectExpr("concat('01-proyectos/p', 1 + doc_id % 200, '/03-analisis/a', doc_id, '.md') doc", "0 idx", "if(quality = 1, concat('human:rev', doc_id % 9), 'process:auto') by", "'2026-02-01T00:00:00Z' at")
+        return rows.selectExpr("concat('01-proyectos/p', 1 + doc_id % 200, '/03-analisis/a', if(doc_id % 25 = 7, 'x', ''), doc_id, '.md') doc", "0 idx", "if(quality = 1, concat('human:rev', doc_id % 9), 'process:auto') by", "'2026-02-01T00:00:00Z' at")
 
     @cached_property
     def documentos_sources(self) -> DataFrame:
@@ -194,4 +196,4 @@ class Star:
 
     @cached_property
     def consultas(self) -> DataFrame:
-        return self._talks.selectExpr("conv_id + 1 linea", f"{_DAY.format('conv_id')} fecha", "docs", "completos", "citados", f"{_pick('conv_id', 'directa', 'explorar', 'sintesis')} modo", "cast(conv_id % 2 as int) archivada")
+        return self._talks.selectExpr("conv_id + 1 linea", f"{_DAY.format('conv_id')} fecha", "docs", "completos", "if(conv_id % 37 = 5, completos + 1, citados) citados", f"{_pick('conv_id', 'directa', 'explorar', 'sintesis')} modo", "cast(conv_id % 2 as int) archivada")
