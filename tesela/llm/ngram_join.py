@@ -45,7 +45,9 @@ SEEN = 200_000
 LIST_LIMIT = 24
 #: Postings for each bucket of the join, and classes in a block of a long list. An n-gram of over BUCKET classes by the sketch is long
 #: before its list is gathered: its postings are dealt by class.
-BUCKET, BLOCK = 400_000, 2_000
+BUCKET, BLOCK = 100_000, 2_000
+#: Pairs, and bytes of text, that one numpy step works on: workers have little memory.
+PAIRS, TEXT_BYTES = 100_000, 500_000
 #: Rounds of meeting the nearest class of another group, at most.
 NEAREST_ROUNDS = 3
 #: Bits of the map that says which classes take part in a comparison: at least, and at most (32 MB, broadcast). Other classes' sets that
@@ -122,7 +124,7 @@ def _describe(text: str, key: str, k: int) -> Callable:
         counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
-            for i, j, data, at in steps(batch.column(batch.schema.get_field_index(text))):
+            for i, j, data, at in steps(batch.column(batch.schema.get_field_index(text)), TEXT_BYTES):
                 n, cid, chk, new, sign, wide = [], [], [], [], [], []
                 for u in shingle_sets(data, at, k):
                     n.append(len(u))
@@ -205,7 +207,7 @@ def _list_prefixes(text: str, k: int, num: int, den: int, sketch, buckets: int,
             return pa.RecordBatch.from_arrays([pa.array(b[np.concatenate([[0], cut])], pa.int32()), pa.array([x.tobytes() for x in np.split(p, cut)], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            for _, _, data, at in steps(batch.column(batch.schema.get_field_index(text))):
+            for _, _, data, at in steps(batch.column(batch.schema.get_field_index(text)), TEXT_BYTES):
                 for u in shingle_sets(data, at, k):
                     if not len(u) or not seen.new(c := _key(u, shared)):
                         continue
@@ -245,6 +247,12 @@ def _pairs_frame(p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """Each pair once, of its rows (a, b, later) that with the smallest third."""
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate([[True], (pairs[1:, 0] != pairs[:-1, 0]) | (pairs[1:, 1] != pairs[:-1, 1])])] if len(pairs) else pairs
+
+
 _CANDIDATES = "a long, b long, lead boolean, h long, cid long, n int, pos int"
 
 
@@ -260,17 +268,21 @@ def _first_pairs(num: int, den: int, buckets: int) -> Callable:
         p = p[keep]
         first = np.flatnonzero(np.concatenate([[True], p["h"][1:] != p["h"][:-1]]))
         size = np.diff(np.concatenate([first, [len(p)]]))
-        found = [np.zeros((0, 3), np.int64)]
+        pairs = np.zeros((0, 3), np.int64)
+        held, rows = [pairs], 0
         for m in range(2, limit + 1):
             at = first[size == m]
             if len(at):
                 x, y = np.triu_indices(m, 1)
-                for part in np.array_split(at, -(-len(at) * len(x) // 500_000)):
+                for part in np.array_split(at, -(-len(at) * len(x) // PAIRS)):
                     i, j = _survivors(p, (part[:, None] + x).ravel(), (part[:, None] + y).ravel(), num, den)
-                    found.append(np.column_stack([_pairs_frame(p, i, j), (i > 0) & (p["h"][i] == p["h"][i - 1])]))  # 0 if i begins its list
+                    held.append(np.column_stack([_pairs_frame(p, i, j), (i > 0) & (p["h"][i] == p["h"][i - 1])]))  # 0 if i begins its list
+                    rows += len(i)
+                    if rows > len(pairs) + 5 * PAIRS:  # copies meet in many lists
+                        pairs = _distinct(np.concatenate([pairs, *held]))
+                        held, rows = [], 0
         long = [np.arange(f, f + m) for f, m in zip(first[size > limit], size[size > limit], strict=True)]
-        pairs = np.unique(np.concatenate(found), axis=0)  # sorted: of a pair's rows one with 0 comes first
-        pairs = pairs[np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])] if len(pairs) else pairs
+        pairs = _distinct(np.concatenate([pairs, *held]))
         rest = p[np.concatenate(long)] if long else p[:0]
         none = pa.nulls
         ends = lambda x: pa.chunked_array([pa.array(x, pa.int64()), none(len(rest), pa.int64())])
@@ -303,14 +315,15 @@ def _near(p: np.ndarray, sign: list[np.ndarray], i: np.ndarray, j: np.ndarray, n
         at[rows] = np.arange(len(rows))
         folded = np.stack([_folded(sign[r], w) for r in rows.tolist()])
         pick = np.flatnonzero(narrow == w)
-        for part in np.array_split(pick, -(-len(pick) * w // 4_000_000)):
+        for part in np.array_split(pick, -(-len(pick) * w // (8 * PAIRS))):
             apart[part] = np.bitwise_count(folded[at[i[part]]] ^ folded[at[j[part]]]).sum(1, dtype=np.int64)
     ok = apart <= n + m - 2 * _least_common(n, m, num, den)
     return i[ok], j[ok], apart[ok] * 1000 // (64 * narrow[ok])
 
 
 def _as_table(found: list[np.ndarray]) -> pa.Table:
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    both = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    pairs = _distinct(np.column_stack([both, np.zeros(len(both), np.int64)]))
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -345,7 +358,7 @@ def _cross_pairs(num: int, den: int, nearest: bool) -> Callable:
         side, comp = group["side"].to_numpy(), group["comp"].to_numpy()
         found = []
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        for part in np.array_split(left, max(1, -(-len(left) * len(right) // 500_000))):
+        for part in np.array_split(left, max(1, -(-len(left) * len(right) // PAIRS))):
             x, y = np.nonzero(comp[part][:, None] != comp[right][None, :])
             i, j = part[x], right[y]
             ok = (side[i] != 0) | (i < j)
@@ -369,7 +382,7 @@ def _sets_of(text: str, k: int, wanted, shared: frozenset[int]) -> Callable:
         last = len(bits) * 8 - 1
         seen = _Seen()
         for batch in batches:
-            for _, _, data, at in steps(batch.column(batch.schema.get_field_index(text))):
+            for _, _, data, at in steps(batch.column(batch.schema.get_field_index(text)), TEXT_BYTES):
                 cid, blob = [], []
                 for u in shingle_sets(data, at, k):
                     if len(u) and bits[(s := (c := _key(u, shared)) & last) >> 3] >> (s & 7) & 1 and seen.new(c):
