@@ -34,12 +34,17 @@ class Snapshots:
         self._fs = spark._jvm.org.apache.hadoop.fs
 
     def _path(self, name: str):
-        return self._fs.Path(f"{self.root}/{name}")
+        return self._fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def current(self) -> str | None:
-        path = self._path("CURRENT")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if fs.exists(path) else None
+        path, fs = self._path("CURRENT"), self._files("CURRENT")
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
 
     def table(self, name: str) -> DataFrame:
         if (at := self.current()) is None:
@@ -65,6 +70,30 @@ class Snapshots:
             rows.write.parquet(f"{self.root}/{name}/{t}")
         written = {t: self.spark.read.parquet(f"{self.root}/{name}/{t}") for t in names}
         if broken := violations(written).limit(5).collect():
+            self._files(name).delete(self._path(name), True)
             raise ValueError(f"not published: {[tuple(r) for r in broken]}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/CURRENT")
+        self._point(name)
         return name
+
+    def _files(self, name: str):
+        return self._path(name).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _point(self, name: str) -> None:
+        """The pointer's file is written beside and put in its place by one renaming, which readers see before or after."""
+        beside, fs = self._path(f"_{name}"), self._files("CURRENT")
+        out = fs.create(beside, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        conf, jvm = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark._jvm
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(self._path("CURRENT")), over)
+
+    def dropped(self, keep: int = 2) -> list[str]:
+        """Deletes all sets but the valid one and the `keep - 1` before it (readers may still be at them); gives the names of those deleted."""
+        fs, valid = self._files(""), self.current()
+        found = sorted((s for s in fs.listStatus(self._path("")) if s.getPath().getName().startswith("v-")), key=lambda s: -s.getModificationTime())
+        old = [s.getPath() for s in found if s.getPath().getName() != valid][max(0, keep - 1) :]
+        for at in old:
+            fs.delete(at, True)
+        return [at.getName() for at in old]

@@ -6,13 +6,14 @@ meet V3 and V26 alone, exempt ones V1, V2 and V18. Times are parameters, so resu
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .contract import ACTORS, CITATIONS, CONDITIONS, EXEMPT, FLOORS, LEVELS, LOG_LINE, RESERVED, SENTINELS
+from .contract import CITATIONS, EXEMPT, LEVELS, LOG_LINE, RESERVED, SCHEMA, SENTINELS, holds
+from .derived import SPECS
 
 #: The target of an inline link, a heading with its text, and a slot that a template leaves to be filled in.
 TARGET = r"\]\(\s*<?([^\s<>()]+)>?(?:\s[^()]*)?\)"
@@ -35,8 +36,8 @@ class Context:
     """What rules share of a bundle: documents by role, their front matter, lines and links."""
 
     def __init__(self, bundle, now: str = "2026-06-14T00:00:00Z", staged: list[str] | None = None):
-        self.contract, self.now = bundle.contract, now
-        self.all = bundle.parsed
+        self.bundle, self.contract, self.now = bundle, bundle.contract, now
+        self.all = bundle.parsed.filter(F.col("path").endswith(".md") & ~F.col("path").startswith(SCHEMA) & ~F.col("path").isin(*(s.path for s in SPECS)))
         base = bundle.name(F.col("path"))
         self.reserved = self.all.filter(base.isin(*RESERVED)).withColumn("base", base)
         own = self.all.filter(~base.isin(*RESERVED))
@@ -46,11 +47,17 @@ class Context:
         self.read = own.filter("has_front and error is null and type is not null")
         self.typed = self.read.filter(F.col("type").isin(*self.contract.types) & ~self.exempt)
         self.meta = {k: self.typed.filter(F.col("type") == k).select("path", "keys", "body_hash", F.from_json("meta", self.contract.json_struct(k)).alias("m")) for k in self.contract.types}
-        self.paths = self.all.select(F.col("path").alias("target"), F.col("type").alias("target_type"))
+        self.paths = bundle.parsed.select(F.col("path").alias("target"), F.col("type").alias("target_type"))
         self.lines = self.typed.select("path", F.explode("lines").alias("l")).select("path", "l.line", "l.text")
         link = F.explode(F.regexp_extract_all("text", F.lit(TARGET), F.lit(1)))
         self.links = self.lines.select("path", "line", link.alias("to"))
 
+    @cached_property
+    def derived(self) -> DataFrame:
+        from . import derived
+
+        return derived.expected(self.bundle, self.contract, self.now[:10])
+
     def fields(self, *kinds: str):
         """(type, name, field) of fields of some kinds."""
         return [(k, n, f) for k in self.contract.types for n, f in self.contract.fields(k).items() if not kinds or f.kind in kinds]
@@ -123,7 +130,7 @@ def required(x):
 
 @rule("V6")
 def well_formed(x):
-    actor = "^(" + "|".join(ACTORS) + ")$"
+    actor = "^(" + "|".join(x.contract.actors) + ")$"
 
     def tests(k):
         for n, f in x.contract.fields(k).items():
@@ -140,8 +147,8 @@ def well_formed(x):
 
 @rule("V7")
 def conditional(x):
-    rules = [(k, a, v, need) for k, a, v, need in CONDITIONS if k in x.meta]
-    return _flags(x, "V7", lambda k: [("error", f"{need} is needed where {a} is {v}", (F.col(f"m.{a}") == v) & F.col(f"m.{need}").isNull()) for t, a, v, need in rules if t == k])
+    blank = lambda n: F.trim(F.coalesce(F.col(f"m.{n}").cast("string"), F.lit(""))) == ""
+    return _flags(x, "V7", lambda k: [("error", f"{n} is needed here", holds(when, lambda f: F.col(f"m.{f}")) & blank(n)) for t, when, need in x.contract.conditions if t == k for n in need])
 
 
 @rule("V8")
@@ -183,6 +190,33 @@ def typed_references(x):
     return _both(*out)
 
 
+def _derived(x, kind: str) -> DataFrame:
+    from . import derived
+
+    return derived.stale(x.derived.filter(F.col("kind") == kind), derived.body_lines(x.bundle.parsed), x.bundle.parsed.select("path"))
+
+
+@rule("V12")
+def indexes(x):
+    """Every folder's index: absent, or other than the documents below it give."""
+    return found(_derived(x, "V12"), "V12", "error", F.concat(F.lit("the index is "), "state"), "line")
+
+
+@rule("V13")
+def derived_files(x):
+    return found(_derived(x, "V13"), "V13", "error", F.concat(F.lit("the derived file is "), "state"), "line")
+
+
+@rule("V14")
+def artifacts(x):
+    """Generated schema files; looked at where the bundle has any."""
+    from .upkeep import stale_artifacts
+
+    files = x.bundle.content.filter(F.col("path").startswith(SCHEMA))
+    off = stale_artifacts(files, x.contract)
+    return found(off.limit(0) if files.isEmpty() else off, "V14", "error", F.concat(F.lit("the generated file is "), "state"))
+
+
 @rule("V15")
 def stale(x):
     late = F.try_to_timestamp(F.col("m.stale_after")) < F.try_to_timestamp(F.lit(x.now))
@@ -195,7 +229,7 @@ def classification(x):
     rank = F.array_position(F.array(*map(F.lit, LEVELS)), v)
 
     def tests(k):
-        floor = LEVELS.index(FLOORS.get(k, "internal")) + 1
+        floor = LEVELS.index(x.contract.floors.get(k, "internal")) + 1
         return [("warning", "no classification", F.coalesce(v, F.lit("")) == ""), ("error", "unknown level", (v != "") & (rank == 0)), ("error", f"below the floor of {k}", (rank > 0) & (rank < floor))]
 
     return _flags(x, "V16", tests)
@@ -283,11 +317,13 @@ def unique_keys(x):
 
 
 #: Rules that look at the corpus as a whole: left out where only staged documents are looked at.
-WHOLE = {"V15", "V24", "V27"}
+WHOLE = {"V12", "V13", "V14", "V15", "V24", "V27"}
 
 
 def findings(bundle, now: str = "2026-06-14T00:00:00Z", staged: list[str] | None = None) -> DataFrame:
-    """All findings in the order of reports: severity, rule as text, path, line."""
+    """All findings in the order of reports: severity, rule as text, path, line.
+
+    The bundle's rows are parsed once and written; the rules read them from there."""
     x = Context(bundle, now, staged)
     rank = F.array_position(F.array(*map(F.lit, ("error", "warning", "info"))), F.col("severity"))
     return _both(*(f(x) for name, f in RULES.items() if staged is None or name not in WHOLE)).orderBy(rank, "rule", "path", "line")

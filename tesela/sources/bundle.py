@@ -1,8 +1,8 @@
 """A folder of Markdown documents as the tables of the corpus model.
 
-The files are listed by Hadoop's file system (so any store that Spark reads will do), read by executors, and parsed once into one row for each document; tables
-and lists are projections of that row by the contract. Spark's own file sources leave out names that begin with _, so paths are listed
-here and dealt as rows.
+The files are read by executors through Spark's own reader, and parsed once into one row for each document, which is written to the shared folder;
+tables, lists and rules are projections of those rows by the contract. Spark's file sources leave out names that begin with _: those alone are
+found by a walk over the listing, and read on the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.contract import EXEMPT, LOG_LINE, RESERVED, Contract
+from ..plans.contract import EXEMPT, LOG_LINE, RESERVED, SCHEMA, Contract
+from ..scratch import saved
 from . import markdown
 
 DOCUMENT = T.StructType([
@@ -68,18 +69,22 @@ def _parser(contract: Contract):
     return run
 
 
-def listed(spark: SparkSession, root: str) -> list[str]:
-    """Paths of all .md files below root, without those that have a part beginning with a dot, in order."""
+def _walk(spark: SparkSession, root: str) -> Iterator[str]:
+    """Paths of all .md files below root, without those that have a part beginning with a dot."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     top = hadoop.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = fs.makeQualified(top).toString().rstrip("/") + "/"
-    out, walk = [], fs.listFiles(top, True)
+    walk = fs.listFiles(top, True)
     while walk.hasNext():
-        path = walk.next().getPath().toString()
-        if path.endswith(".md") and not any(p.startswith(".") for p in path.removeprefix(base).split("/")):
-            out.append(path.removeprefix(base))
-    return sorted(out)
+        path = walk.next().getPath().toString().removeprefix(base)
+        if path.endswith(".md") and not any(p.startswith(".") for p in path.split("/")):
+            yield path
+
+
+def listed(spark: SparkSession, root: str) -> list[str]:
+    """Those paths in order."""
+    return sorted(_walk(spark, root))
 
 
 def _read_here(spark: SparkSession, full: str) -> bytes:
@@ -91,20 +96,17 @@ def _read_here(spark: SparkSession, full: str) -> bytes:
         stream.close()
 
 
-def files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """path (below root) and content of each file, read by executors; names with _, which Spark's readers drop, are read here."""
-    paths = listed(spark, root) if paths is None else paths
-    base = root.rstrip("/") + "/"
-    hidden = [p for p in paths if p.rsplit("/", 1)[-1].startswith("_")]
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root) and content of each document and generated schema file, read by executors; names with _, which Spark's readers drop, are read here."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    base = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
+    hidden = (p for p in _walk(spark, root) if p.rsplit("/", 1)[-1].startswith("_"))
     rows = spark.createDataFrame([(p, bytearray(_read_here(spark, base + p))) for p in hidden], "path string, content binary")
-    seen = [p for p in paths if p not in set(hidden)]
-    if not seen:
-        return rows
-    # a file comes back with its whole name, percent-encoded; it ends in one of the paths asked for
-    known = F.broadcast(spark.createDataFrame([(p,) for p in seen], "rel string"))  # as many as were listed here
-    found = spark.read.format("binaryFile").load([base + p.replace("[", "\\[").replace("{", "\\{").replace("*", "\\*").replace("?", "\\?") for p in seen]).select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("full"), "content")
-    rel = F.expr(f"substring(full, instr(full, '{base.split('://')[-1]}') + {len(base.split('://')[-1])})")
-    return rows.unionByName(found.withColumn("path", rel).join(known, F.col("path") == F.col("rel"), "left_semi").select("path", "content"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,json,sql}").load(root)
+    after = F.lit(base.split(":", 1)[-1].lstrip("/"))  # a file comes back with its whole name, in one of several spellings of the scheme
+    found = found.select(F.substring("path", F.instr("path", after) + F.char_length(after), F.char_length("path")).alias("path"), "content")
+    return rows.unionByName(found.filter(~F.col("path").rlike(r"(^|/)\.") & (F.col("path").endswith(".md") | F.col("path").startswith(SCHEMA))))
 
 
 class Bundle:
@@ -112,7 +114,12 @@ class Bundle:
 
     def __init__(self, content: DataFrame, contract: Contract | None = None):
         self.contract = contract or Contract()
-        self.parsed = content.select("path", "content").mapInPandas(_parser(self.contract), DOCUMENT)
+        self.content = content.select("path", "content")
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """A row for each document, parsed in one pass and written: all tables and rules read these rows."""
+        return saved(self.content.mapInPandas(_parser(self.contract), DOCUMENT), "parsed")
 
     @classmethod
     def at(cls, spark: SparkSession, root: str, contract: Contract | None = None) -> Bundle:
@@ -132,7 +139,7 @@ class Bundle:
     @property
     def documents(self) -> DataFrame:
         """Rows that tables are made of: of a known type, not reserved, not exempt, readable."""
-        return self.parsed.filter(F.col("has_front") & F.col("error").isNull() & F.col("type").isin(*self.contract.types) & ~self.name(F.col("path")).isin(*RESERVED, *EXEMPT))
+        return self.parsed.filter(F.col("has_front") & F.col("error").isNull() & F.col("type").isin(*self.contract.types) & ~self.name(F.col("path")).isin(*RESERVED, *EXEMPT) & F.col("path").endswith(".md") & ~F.col("path").startswith(SCHEMA))
 
     def _of(self, kind: str | None) -> DataFrame:
         rows = self.documents if kind is None else self.documents.filter(F.col("type") == kind)

@@ -153,7 +153,31 @@ def test_a_broken_corpus_is_not_published(spark, tmp_path):
     good = snaps.publish(Bundle.of_texts(spark, TEXTS), TABLES)
     with pytest.raises(ValueError, match="not published"):
         snaps.publish(Bundle.of_texts(spark, TEXTS | {"01-proyectos/y/CONTEXT.md": TEXTS["01-proyectos/x/CONTEXT.md"]}), TABLES)
-    assert snaps.current() == good
+    assert snaps.current() == good and {p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("v-")} == {good}
+
+
+def test_readers_see_a_projection_while_others_are_published(spark, tmp_path):
+    import threading
+
+    snaps = Snapshots(spark, f"{tmp_path}/s")
+    names = ["documentos", "persona"]
+    corpus = Bundle.of_texts(spark, TEXTS)
+    snaps.publish(corpus, names)
+    seen, over = [], threading.Event()
+
+    def read():
+        while not over.is_set():
+            seen.append(snaps["documentos"].count())
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        published = [snaps.publish(corpus, names, full=True) for _ in range(3)]
+    finally:
+        over.set()
+        reader.join()
+    assert set(seen) == {8} and snaps.current() == published[-1]
+    assert len(snaps.dropped(keep=1)) == 3 and snaps["documentos"].count() == 8
 
 
 def test_files_of_a_folder(spark, tmp_path):
@@ -162,7 +186,10 @@ def test_files_of_a_folder(spark, tmp_path):
         (tmp_path / name).write_text(name)
     assert listed(spark, str(tmp_path)) == ["_b.md", "a.md", "sub dir/c.md"]
     assert {r.path: bytes(r.content).decode() for r in files(spark, str(tmp_path)).collect()} == {"_b.md": "_b.md", "a.md": "a.md", "sub dir/c.md": "sub dir/c.md"}
-    assert files(spark, str(tmp_path), []).count() == 0
+    odd = tmp_path / "o'dd +%20 [x]" / "b c"
+    odd.mkdir(parents=True)
+    (odd / "ñ é+%.md").write_text("in")
+    assert {r.path for r in files(spark, str(tmp_path)).collect()} >= {"o'dd +%20 [x]/b c/ñ é+%.md"}
 
 
 def test_contract_extensions():

@@ -2,6 +2,8 @@
 
 import pytest
 
+from tesela.plans import upkeep
+from tesela.plans.contract import Contract
 from tesela.plans.rules import RULES, Context, findings
 from tesela.sources.bundle import Bundle
 from tesela.sources.markdown import body_hash
@@ -34,12 +36,29 @@ SEEDED = {
 }
 
 
-def test_a_sound_bundle_has_no_findings(spark):
-    assert findings(Bundle.of_texts(spark, SOUND)).collect() == []
+@pytest.fixture(scope="module")
+def sound(spark):
+    """The sound documents with their derived files and schema artifacts."""
+    content = Bundle.of_texts(spark, SOUND | Contract().artifacts()).content
+    return {r.path: bytes(r.content).decode() for r in upkeep.fixed(content, Contract(), "2026-06-14").collect()}
+
+
+def test_a_sound_bundle_has_no_findings(spark, sound):
+    assert findings(Bundle.of_texts(spark, sound)).collect() == []
+
+
+@pytest.mark.parametrize(("rule", "path", "change"), [
+    ("V12", "02-areas/personas/index.md", lambda t: t.replace("Un título", "Otro")), ("V12", "01-proyectos/x/index.md", lambda t: None), ("V12", "01-proyectos/x/02-decisiones/index.md", lambda t: t + "más\n"), ("V13", "GOALS.md", lambda t: t.replace("iniciando", "bloqueada")), ("V13", "ORGANIGRAMA.md", lambda t: None),
+    ("V13", "PREGUNTAS-ABIERTAS.md", lambda t: t.replace("—", "nada")), ("V14", "schema/json/decision.schema.json", lambda t: t + " "), ("V14", "schema/ddl.sql", lambda t: None),
+])
+def test_derived_files_out_of_date(spark, sound, rule, path, change):
+    new = change(sound[path])
+    texts = {k: v for k, v in sound.items() if k != path} | ({path: new} if new is not None else {})
+    assert [(r.rule, r.path) for r in RULES[rule](Context(Bundle.of_texts(spark, texts))).collect()] == [(rule, path)]
 
 
 def test_every_rule_has_a_seeded_case():
-    assert set(SEEDED) == set(RULES)
+    assert set(SEEDED) | {"V12", "V13", "V14"} == set(RULES)
 
 
 @pytest.mark.parametrize("name", SEEDED)
