@@ -3,8 +3,8 @@
 All columns count alike. A document's score sums idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)) over the terms, with
 k1 = 1.2, b = 0.75 and idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not above 0; the relevance is its negative, so less is better.
 
-Query language: terms (all must occur), prefix*, "a phrase", column:term, OR between groups, NOT before a term. One pass over the documents finds
-the frequencies of the query's terms; nothing else is exploded or shuffled.
+Query language: terms (all must occur), prefix*, "a phrase", column:term, OR between groups, NOT before a term. Here a pass over the documents finds
+the frequencies of the query's terms, for corpora that have no stored index; `index` reads them from one.
 """
 
 from __future__ import annotations
@@ -101,18 +101,23 @@ def matching(docs: DataFrame, query: str) -> DataFrame:
     return counted.filter(match).select("path")
 
 
+def relevance(n: dict[int, Column], n_docs: Column, mean: Column) -> Column:
+    """The score from columns tf0.. and length; n: how many documents have each term that counts."""
+    score = F.lit(0.0)
+    for i, own in n.items():
+        idf = F.log((n_docs - own + 0.5) / (own + 0.5))
+        tf = F.col(f"tf{i}")
+        score = score + F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
+    return -score
+
+
 def scored(docs: DataFrame, query: str) -> DataFrame:
     """path and relevancia (below 0, less is better) of every document that matches."""
     counted, terms, match = _counted(docs, parse(query))
     positive = [i for i, t in enumerate(terms) if not t.negated]
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in positive))
-    rows = counted.filter(match).join(F.broadcast(stats))  # one row of numbers
-    score = F.lit(0.0)
-    for i in positive:
-        idf = F.log((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        tf = F.col(f"tf{i}")
-        score = score + F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return rows.select("path", (-score).alias("relevancia"))
+    r = stats.first()
+    return counted.filter(match).select("path", relevance({i: F.lit(r[f"n{i}"] or 0) for i in positive}, F.lit(r.n_docs), F.lit(r.mean_length or 0.0)).alias("relevancia"))
 
 
 def ranked(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:

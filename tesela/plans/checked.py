@@ -46,6 +46,16 @@ def rules_on_bundle(spark, sf_dir):
     return reduce(DataFrame.unionByName, [RULES[r](x).select("rule", "severity") for r in names]).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
+@checked("findings_by_severity")
+def findings_by_severity(spark, sf_dir):
+    """The report's counts: for each rule of single documents how many errors, warnings and notes."""
+    from .upkeep import by_severity
+
+    x = Context(generated.bundle(spark, sf_dir))
+    names = [r for r in RULES if r not in ("V3", "V12", "V13", "V14", "V26")]
+    return by_severity(reduce(DataFrame.unionByName, [RULES[r](x) for r in names]))
+
+
 @checked("frontmatter_parse")
 def frontmatter_parse(spark, sf_dir):
     rows = generated.bundle(spark, sf_dir).parsed
@@ -130,6 +140,7 @@ _BODY = "'# Documento ' || n || chr(10) || chr(10) || translate(t, '<>[]()`~#|'
 
 SQL = {f"rule_v{int(r[1:]):02}": _hits[r] for r in SHOWN} | {
     "rules_on_bundle": "select rule, severity, count(*) n from (" + " union all ".join(f"select '{r}' as rule, severity from ({sql})" for r, sql in _hits.items()) + ") group by all",
+    "findings_by_severity": "select rule, count(*) filter (severity = 'error') error, count(*) filter (severity = 'warning') warning, count(*) filter (severity = 'info') info, count(*) total from (" + " union all ".join(f"select '{r}' as rule, severity from ({sql})" for r, sql in _hits.items()) + ") group by rule",
     "frontmatter_parse": f"""select {_PATH} path, case when n >= 100 and n % 97 in (1, 2) then null else {_KIND} end as type, not (n >= 100 and n % 97 = 1) has_front, case when n >= 100 and n % 97 = 1 then null else 'Documento ' || n end title,
         cast(case when n >= 100 and n % 97 = 1 then 0 else 9 + case {_KIND} when 'Iniciativa' then 4 when 'Persona' then 1 when 'Pregunta' then 4 else 4 end
         + case when n < 100 then 0 when n % 97 in (2, 4) then -1 when n % 97 in (6, 9) then 1 when n % 97 in (16, 19) then 2 else 0 end end as int) n_keys, n >= 100 and n % 97 = 1 broken from {_N}""",

@@ -66,9 +66,14 @@ def unique(c, contract: Contract | None = None) -> DataFrame:
 
 def parents(c, contract: Contract | None = None) -> DataFrame:
     contract = contract or Contract()
-    docs = c["documentos"].select(F.col("path").alias("doc"))
-    of_type = [_row(c[k.lower()].join(docs, "doc", "left_anti"), "fk", k.lower(), "doc", "doc") for k in contract.types if _has(c, k.lower())]
-    return _union(of_type + [_row(c[t].join(c[PARENTS[t]].select("doc") if t in PARENTS else docs, "doc", "left_anti"), "fk", t, "doc", "doc") for t in CHILDREN if _has(c, t)])
+    docs = c["documentos"].select(F.col("path").alias("doc"), "type")
+    # a type's documents are looked for among those of the type, which leaves all other scans out
+    out = [_row(c[k.lower()].join(docs.filter(F.col("type") == k), "doc", "left_anti"), "fk", k.lower(), "doc", "doc") for k in contract.types if _has(c, k.lower())]
+    out += [_row(c[t].join(c[p].select("doc"), "doc", "left_anti"), "fk", t, "doc", "doc") for t, p in PARENTS.items() if _has(c, t)]
+    common = [c[t].select(F.lit(t).alias("__t"), "doc") for t in CHILDREN if t not in PARENTS and _has(c, t)]
+    if common:  # one join for all of them
+        out.append(_union(common).join(docs, "doc", "left_anti").select(F.lit("fk").alias("check"), F.col("__t").alias("tabla"), F.lit("doc").alias("columna"), "doc"))
+    return _union(out)
 
 
 CHECKS = {"chk_not_null": not_null, "chk_enum": enums, "chk_pk": keys, "chk_unique": unique, "chk_fk": parents}

@@ -12,7 +12,7 @@ from ..functions.text import tokens
 from ..operators import search
 from . import constraints
 from .contract import LEVELS, PERIODS
-from .questions import _blank, _human, _titled, bare
+from .questions import _blank, _human, _titled, bare, matching
 from .views import documento_proyecto
 
 EXTRAS: dict = {}
@@ -33,28 +33,35 @@ for _name, _check in constraints.CHECKS.items():
 # ------------------------------------------------ search
 
 @extra("fts_match")
-def match(c, p):
-    return search.matching(c.busqueda, p["termino"])
+def _match(c, p):
+    return matching(c, p["termino"])
 
 
 @extra("fts_prefix")
 def prefix(c, p):
-    return search.matching(c.busqueda, "urg*")
+    return matching(c, "urg*")
 
 
 @extra("fts_column")
 def in_a_column(c, p):
-    return search.matching(c.busqueda, "title:pregunta NOT urgent")
+    return matching(c, "title:pregunta NOT urgent")
 
 
 @extra("fts_phrase")
 def phrase(c, p):
-    return search.matching(c.busqueda, '"of the"')
+    return matching(c, '"of the"')
 
 
 @extra("fts_topk")
 def topk(c, p):
-    return search.ranked(c.busqueda, p["termino"], 10).select("path", F.round("relevancia", 6).alias("relevancia"))
+    found = c.index.ranked(p["termino"], 10) if hasattr(c, "index") else search.ranked(c.busqueda, p["termino"], 10)
+    return found.select("path", F.round("relevancia", 6).alias("relevancia"))
+
+
+@extra("fts_postings")
+def postings(c, p):
+    """The whole inverted index: in which column of which document each word is, and how often."""
+    return c.index.postings()
 
 
 @extra("fts_terms")
@@ -178,9 +185,12 @@ def findings_summary(c, p):
 @extra("findings_top_n")
 def findings_top(c, p):
     """The first eight of each check by path, and how many more there are."""
-    own = Window.partitionBy("check")
-    rows = _all_findings(c, p).withColumn("rank", F.row_number().over(own.orderBy("path", "what"))).withColumn("n", F.count("*").over(own))
-    return rows.filter("rank <= 8").select("check", "rank", "path", "what", F.greatest(F.col("n") - 8, F.lit(0)).alias("more"))
+    rows = _all_findings(c, p)
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("path", "what"))
+    # the first eight of each part of a check come before those of the check, so no task has all of them
+    some = rows.withColumn("part", F.pmod(F.xxhash64("path", "what"), F.lit(256))).withColumn("rank", rank("check", "part")).filter("rank <= 8")
+    first = some.withColumn("rank", rank("check")).filter("rank <= 8")
+    return first.join(rows.groupBy("check").agg(F.count("*").alias("n")), "check").select("check", "rank", "path", "what", F.greatest(F.col("n") - 8, F.lit(0)).alias("more"))
 
 
 # ------------------------------------------------ derived
@@ -200,7 +210,13 @@ def derive_goals(c, p):
     """Initiatives by their declared kinds in order, others last, and positions in each."""
     order = F.array(*map(F.lit, ["proyecto-asignado", "objetivo-personal", "objetivo-equipo"]))
     rows = _titled(c, "iniciativa").withColumn("g", F.when(F.array_position(order, F.col("origen")) > 0, F.array_position(order, F.col("origen"))).otherwise(F.lit(99)).cast("int"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("periodo", "title", "doc"))).select("g", "origen", "pos", "title", "periodo", "estado")
+    # positions in parts that follow each other in the order, and the sizes of the parts before: no task has a whole kind
+    part = ["g", "periodo", "head"]
+    rows = rows.withColumn("head", F.substring("title", 1, 3))
+    sizes = rows.groupBy(*part).agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("g").orderBy("periodo", "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy(*part).orderBy("title", "doc"))).join(sizes, part)
+    return rows.select("g", "origen", (F.col("before") + F.col("own")).alias("pos"), "title", "periodo", "estado")
 
 
 @extra("derive_org_nodes")
@@ -222,11 +238,11 @@ def org_gaps(c, p):
 
 @extra("index_by_directory")
 def directory_index(c, p):
-    """For each folder how many documents it holds, how many folders below it, and a digest of its list in order of names."""
+    """For each folder how many documents it holds, how many folders below it, and a digest of its lines: a sum, so that it needs no list in memory."""
     folder = lambda x: F.regexp_extract(x, "^(.*)/[^/]*$", 1)
     docs = c["documentos"].select(folder(F.col("path")).alias("dir"), F.substring_index("path", "/", -1).alias("file"), "title", "description")
     line = F.concat(F.lit("* ["), "title", F.lit("]("), "file", F.lit(") - "), "description")
-    lists = docs.groupBy("dir").agg(F.count("*").alias("docs"), F.md5(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("file", line.alias("line")))), lambda x: x["line"]))).alias("digest"))
+    lists = docs.groupBy("dir").agg(F.count("*").alias("docs"), F.sum(F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")).alias("digest"))
     below = docs.select("dir").distinct().select(folder(F.col("dir")).alias("dir")).groupBy("dir").agg(F.count("*").alias("subdirs"))
     return lists.join(below, "dir", "left").select("dir", "docs", F.coalesce("subdirs", F.lit(0)).alias("subdirs"), "digest")
 
@@ -249,8 +265,8 @@ def survey_totals(c, p):
 def survey_cost(c, p):
     """Reading all against navigating: twice all tokens for derived files, and the five largest documents for a query."""
     t = c.busqueda.select(F.floor(F.length("cuerpo") / 4).alias("t"), "path")
-    top = t.orderBy(F.desc("t"), "path").limit(5).agg(F.sum("t").alias("top5"))
-    return t.agg((2 * F.sum("t")).alias("derived"), F.count("*").alias("docs")).join(top).select("derived", "top5", "docs", F.when(F.col("docs") < 200, "unreliable").otherwise("measured").alias("verdict"))
+    top = t.orderBy(F.desc("t"), "path").limit(5).agg(F.sum("t"))
+    return t.agg((2 * F.sum("t")).alias("derived"), F.count("*").alias("docs")).select("derived", top.scalar().alias("top5"), "docs", F.when(F.col("docs") < 200, "unreliable").otherwise("measured").alias("verdict"))
 
 
 @extra("survey_link_classes")
@@ -301,3 +317,67 @@ def places(c, p):
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     fits = reduce(Column.__or__, ((F.col("type") == k) & folder.rlike("|".join(contract.place_shapes(k))) for k in contract.types))
     return c["documentos"].groupBy("type", fits.alias("placed")).agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------ costs, governance and depth
+
+@extra("survey_verdict")
+def verdict(c, p):
+    """The model of costs over all documents."""
+    from .cost import model
+
+    line = F.length("title") + F.length("description") + F.length(F.substring_index("path", "/", -1)) + 9
+    return model(c.busqueda.select("path", F.length(F.coalesce("cuerpo", F.lit(""))).alias("chars"), line.alias("line")))
+
+
+@extra("survey_fields")
+def fields(c, p):
+    """How many documents of each type have a value in each field."""
+    from .cost import filled
+
+    return filled(c)
+
+
+@extra("gov_personal")
+def personal(c, p):
+    """Documents about persons by classification, and how many of them are below confidential."""
+    from .contract import PERSONAL
+
+    rows = c["documentos"].filter(F.col("type").isin(*PERSONAL))
+    return rows.groupBy("type", "classification").agg(F.count("*").alias("n"), F.sum(F.col("classification").isin("public", "internal").cast("long")).alias("exposed"))
+
+
+@extra("gov_stewardship")
+def stewardship(c, p):
+    """Who has confirmed how many documents of each type; those that nobody has confirmed under -."""
+    by = c["documentos_verified"].filter(_human(F.col("by"))).select(F.col("doc").alias("path"), "by").distinct()
+    return c["documentos"].select("path", "type").join(by, "path", "left").groupBy("type", F.coalesce("by", F.lit("-")).alias("steward")).agg(F.count("*").alias("n"))
+
+
+@extra("gov_unset")
+def unset(c, p):
+    """Documents without a state, a maker or a date to be looked at again, by type; deprecated ones apart."""
+    n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("long"))
+    return c["documentos"].groupBy("type").agg(F.count("*").alias("n"), n(F.col("status").isNull()).alias("no_status"), n(F.col("generated_by").isNull()).alias("no_maker"), n(F.col("stale_after").isNull()).alias("no_date"), n(F.col("status") == "deprecated").alias("deprecated"))
+
+
+@extra("archive_periods")
+def archived_periods(c, p):
+    """Periods that archived copies of delivered initiatives would lie under, each once."""
+    from .upkeep import archive_periods
+
+    rows = c["iniciativa"].filter("estado = 'entregada'")
+    return archive_periods(rows.select(F.concat(F.lit("04-archivo/"), "periodo", F.lit("/"), "proyecto", F.lit("/04-archivo/"), "periodo", F.lit("/CONTEXT.md")).alias("path")))
+
+
+@extra("org_depth")
+def org_depth(c, p):
+    """How far below a person without a superior everybody is; those in a ring, or below one, are left out. A level is a join, written before the next."""
+    from ..scratch import saved
+
+    rows = saved(c["persona"].select("doc", F.when(~_blank(F.col("reports_to")), bare(F.col("reports_to"))).alias("boss")), "people")
+    level, out = rows.filter("boss is null").select("doc", F.lit(0).alias("depth")), []
+    while not (level := saved(level, "level")).isEmpty():
+        out.append(level)
+        level = rows.join(level.withColumnRenamed("doc", "boss"), "boss").select("doc", (F.col("depth") + 1).alias("depth"))
+    return reduce(DataFrame.unionByName, out, rows.limit(0).select("doc", F.lit(0).alias("depth")))

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import read_text, replace_text
+
 
 def difference(old: DataFrame, new: DataFrame, key: str = "path", mark: str = "hash") -> DataFrame:
     """key and state (new, changed, same, gone) from two tables of keys and content hashes."""
@@ -37,14 +39,7 @@ class Snapshots:
         return self._fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def current(self) -> str | None:
-        path, fs = self._path("CURRENT"), self._files("CURRENT")
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
+        return read_text(self.spark, f"{self.root}/CURRENT")
 
     def table(self, name: str) -> DataFrame:
         if (at := self.current()) is None:
@@ -72,23 +67,12 @@ class Snapshots:
         if broken := violations(written).limit(5).collect():
             self._files(name).delete(self._path(name), True)
             raise ValueError(f"not published: {[tuple(r) for r in broken]}")
-        self._point(name)
+        replace_text(self.spark, f"{self.root}/CURRENT", name)
         return name
 
     def _files(self, name: str):
         return self._path(name).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _point(self, name: str) -> None:
-        """The pointer's file is written beside and put in its place by one renaming, which readers see before or after."""
-        beside, fs = self._path(f"_{name}"), self._files("CURRENT")
-        out = fs.create(beside, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        conf, jvm = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark._jvm
-        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        self._fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(self._path("CURRENT")), over)
-
     def dropped(self, keep: int = 2) -> list[str]:
         """Deletes all sets but the valid one and the `keep - 1` before it (readers may still be at them); gives the names of those deleted."""
         fs, valid = self._files(""), self.current()

@@ -178,6 +178,7 @@ QUERIES |= _RULES | {
     "fts_column": f"select path from todo where list_contains({_TOKENS.format('title').replace('{', '{{').replace('}', '}}')}, 'pregunta') and path not in (select path from palabras where list_contains(w, 'urgent'))",
     "fts_phrase": "select path from todo where " + " or ".join(f"contains(' ' || array_to_string({_TOKENS.format(c).replace('{', '{{').replace('}', '}}')}, ' ') || ' ', ' of the ')" for c in ("title", "description", "resumen", "cuerpo")),
     "fts_topk": f"select path, round(relevancia, 6) relevancia from ({_bm25('{termino}')}) order by round(relevancia, 9), path limit 10",
+    "fts_postings": "select term, path, field, count(*) tf from (" + " union all ".join(f"select path, '{c}' field, unnest({_TOKENS.format(c).replace('{', '{{').replace('}', '}}')}) term from todo" for c in ("title", "description", "resumen", "cuerpo")) + ") group by all",
     "fts_terms": f"select term, count(distinct path) docs, count(*) tf from (select path, unnest(list_concat({_TOKENS.format('title').replace('{', '{{').replace('}', '}}')}, {_TOKENS.format('description').replace('{', '{{').replace('}', '}}')})) term from documentos) group by term",
     "rule_v17": f"select field, state, count(*) n from (select field, case when v not like '/%' then 'free text' when type is null then 'missing' when type <> 'Persona' then type end state from ({_PEOPLE}) left join documentos on path = substr(v, 2) and v like '/%' where trim(v) <> '') where state is not null group by field, state",
     "rule_v26": "select linea, citados, completos from consultas where citados > completos",
@@ -191,7 +192,7 @@ QUERIES |= _RULES | {
     "derive_org_nodes": "select regexp_replace(doc, '[^A-Za-z0-9_]', '_', 'g') id, title, rol from persona, documentos where path = doc",
     "derive_org_edges": "select regexp_replace(a.doc, '[^A-Za-z0-9_]', '_', 'g') a, regexp_replace(b.doc, '[^A-Za-z0-9_]', '_', 'g') b from persona a join persona b on b.doc = ltrim(a.reports_to, '/')",
     "derive_org_gaps": "select doc, title from persona, documentos where path = doc and coalesce(trim(reports_to), '') = ''",
-    "index_by_directory": """select l.dir, docs, coalesce(subdirs, 0) subdirs, digest from (select dir, count(*) docs, md5(string_agg('* [' || title || '](' || file || ') - ' || description, chr(10) order by file)) digest from (select regexp_extract(path, '^(.*)/[^/]*$', 1) dir, split_part(path, '/', -1) file, title, description from documentos) group by dir) l
+    "index_by_directory": """select l.dir, docs, coalesce(subdirs, 0) subdirs, digest from (select dir, count(*) docs, cast(sum(cast('0x' || substr(md5('* [' || title || '](' || file || ') - ' || description), 1, 8) as bigint)) as bigint) digest from (select regexp_extract(path, '^(.*)/[^/]*$', 1) dir, split_part(path, '/', -1) file, title, description from documentos) group by dir) l
         left join (select regexp_extract(dir, '^(.*)/[^/]*$', 1) dir, count(*) subdirs from (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) dir from documentos) group by 1) b on b.dir = l.dir""",
     "survey_types": "select type, count(*) n, sum(length(cuerpo) // 4) tokens from todo group by type",
     "survey_totals": "select count(*) docs, sum(length(cuerpo) // 4) tokens, max(length(cuerpo) // 4) largest, max(len(string_split(path, '/'))) depth from todo",
@@ -202,6 +203,17 @@ QUERIES |= _RULES | {
         full join (select doc, sha256(doc || '|' || title) hash from src_insumo) r on r.doc = s.doc group by 1""",
     "diff_new_changed_gone": """select case when b.path is null then 'new' when a.path is null then 'gone' when a.hash = b.hash then 'same' else 'changed' end state, count(*) n from documentos a
         full join (select case when n = 1 then path || '.old' else path end path, case when n = 2 then 'x' else hash end hash from (select path, hash, length(title) % 4 n from documentos) where n <> 0) b on b.path = a.path group by 1""",
+    "survey_verdict": """select docs, tokens, depth, 2 * tokens derived, indexes, navigation, reading, 2 * tokens + indexes upkeep, navigation + reading asking,
+        case when docs < 200 then 'unreliable' when 2 * tokens + indexes > 2 * (navigation + reading) then 'upkeep' when navigation + reading > 2 * (2 * tokens + indexes) then 'asking' else 'comparable' end verdict
+        from (select docs, tokens, depth, cast(floor(8 * mean) as bigint) indexes, cast(floor(8 * roots + mean * greatest(depth - 1, 1)) as bigint) navigation, reading from
+        (select count(*) docs, cast(sum(t) as bigint) tokens, max(len(string_split(path, '/'))) depth, cast(sum(t) filter (r <= 5) as bigint) reading from (select path, t, row_number() over (order by t desc, path) r from (select path, length(coalesce(cuerpo, '')) // 4 t from todo))),
+        (select avg(i) mean, count(distinct split_part(dir, '/', 1)) roots from (select regexp_extract(path, '^(.*)/[^/]*$', 1) dir, sum(length(title) + length(description) + length(split_part(path, '/', -1)) + 9) // 4 i from todo group by 1)))""",
+    "survey_fields": " union all ".join(f"select '{t}' as type, '{c}' field, (select count(*) from {t}) docs, (select count({c}) from {t}) n" for t, cs in _OWN.items() for c in cs.split(", ") if c != "doc"),
+    "gov_personal": "select type, classification, count(*) n, count(*) filter (classification in ('public', 'internal')) exposed from documentos where type = 'Persona' group by all",
+    "gov_stewardship": "select type, coalesce(\"by\", '-') steward, count(*) n from documentos left join (select distinct doc, \"by\" from documentos_verified where \"by\" like 'human:%') on doc = path group by all",
+    "gov_unset": "select type, count(*) n, count(*) - count(status) no_status, count(*) - count(generated_by) no_maker, count(*) - count(stale_after) no_date, count(*) filter (status = 'deprecated') deprecated from documentos group by type",
+    "archive_periods": "select periodo, count(*) n from iniciativa where estado = 'entregada' group by periodo",
+    "org_depth": "select doc, depth from (with recursive d as (select doc, 0 depth from persona where coalesce(trim(reports_to), '') = '' union all select p.doc, depth + 1 from persona p join d on ltrim(p.reports_to, '/') = d.doc) select * from d)",
     "content_sha256": "select path, sha256(cuerpo) sha256 from todo",
     "place_documents": """select type, regexp_full_match(regexp_extract(path, '^(.*)/[^/]*$', 1), case type when 'Iniciativa' then '01-proyectos/[^/]+' when 'Plan' then '01-proyectos/[^/]+' when 'Insumo' then '01-proyectos/[^/]+/00-insumos' when 'Reunion' then '01-proyectos/[^/]+/01-reuniones' when 'Decision' then '01-proyectos/[^/]+/02-decisiones'
         when 'Analisis' then '01-proyectos/[^/]+/03-analisis' when 'Pregunta' then '01-proyectos/[^/]+/04-preguntas' when 'Diagrama' then '01-proyectos/[^/]+/05-diagramas' when 'Persona' then '02-areas/personas' when 'Lineamiento' then '02-areas/[^/]+' when 'Sistema' then '03-recursos/sistemas' when 'Playbook' then '03-recursos/playbooks' else '03-recursos/glosario' end) placed, count(*) n from documentos group by 1, 2""",

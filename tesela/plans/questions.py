@@ -28,6 +28,11 @@ def question(name: str):
     return put
 
 
+def matching(c, query: str) -> DataFrame:
+    """Paths that match, from the corpus's stored index if it has one."""
+    return c.index.matching(query) if hasattr(c, "index") else search.matching(c.busqueda, query)
+
+
 def _titled(c, name: str, *more: str) -> DataFrame:
     """The rows of a type's table with columns of their documents. The filter on type lets Catalyst drop all other types' scans."""
     return c[name].join(c["documentos"].filter(F.col("type") == name.capitalize()).select(F.col("path").alias("doc"), "title", *more), "doc")
@@ -132,7 +137,7 @@ def precedents(c, p):
 
 @question("cq_29")
 def decisions_on(c, p):
-    hits = search.matching(c.busqueda, p["asunto"]).select(F.col("path").alias("doc"))
+    hits = matching(c, p["asunto"]).select(F.col("path").alias("doc"))
     rows = _titled(c, "decision").filter((F.col("estado") == "aceptada") & F.col("valido_hasta").isNull())
     return rows.join(hits, "doc", "left_semi").select("title", "estado", "valido_hasta")
 
@@ -250,6 +255,8 @@ def lapsed(c, p):
 
 @question("cq_49")
 def mentions(c, p):
+    if hasattr(c, "index"):
+        return c.index.ranked(p["termino"], 20).select("path", F.col("kind").alias("type"), F.col("head").alias("title"), F.round("relevancia", 6).alias("relevancia"))
     return search.ranked(c.busqueda, p["termino"], 20).join(c["documentos"].select("path", "type", "title"), "path").select("path", "type", "title", F.round("relevancia", 6).alias("relevancia"))
 
 

@@ -7,11 +7,14 @@ DataFrames: what a query does not use, Catalyst leaves out.
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir, stamp
+
 #: Fixed values of the model: the tables in order, and the types with the code that their common fields are derived with.
 TABLES = "documentos documentos_tags documentos_verified documentos_sources analisis decision decision_decisores diagrama glosario iniciativa iniciativa_sistemas iniciativa_personas insumo lineamiento persona plan playbook pregunta reunion reunion_asistentes sistema consultas".split()
 TYPES = {"Persona": 0, "Sistema": 1, "Iniciativa": 2, "Decision": 3, "Pregunta": 4, "Lineamiento": 5, "Reunion": 6, "Plan": 7, "Diagrama": 8, "Playbook": 9, "Glosario": 10, "Analisis": 11, "Insumo": 12}
@@ -139,6 +142,16 @@ class Star:
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    @cached_property
+    def index(self):
+        """The stored search index over these tables, made when it is first asked for and anew when a table has been written since."""
+        from ..operators.index import Index
+
+        names = [f"{t}.parquet" for t in ("customer", "supplier", "part", "orders", "conversations", "region", "nation", "documents", "pages")]
+        state = hashlib.sha256(f"{self.sf_dir}\n{stamp(self.spark, self.sf_dir, names)}".encode()).hexdigest()[:24]
+        index = Index(self.spark, f"{shared_dir(self.spark)}/tesela-index/{state}")
+        return index if index.exists() else index.build(self._all.select("path", "title", "description", "resumen", "cuerpo", F.col("type").alias("kind"), F.col("title").alias("head")), ["kind", "head"])
+
     def table(self, name: str) -> DataFrame:
         if name in COLUMNS:
             return self.source(name).select(*COLUMNS[name].split())
