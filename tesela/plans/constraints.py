@@ -76,6 +76,21 @@ def parents(c, contract: Contract | None = None) -> DataFrame:
     return _union(out)
 
 
+def strict(c, contract: Contract | None = None) -> list[tuple[str, str, str, str | None]]:
+    """(table, column, declared type, type there is) where a table's columns are not those of the contract; None where a column is missing. Whole
+    numbers of another width count as equal."""
+    contract = contract or Contract()
+    whole = {"tinyint": "int", "smallint": "int", "bigint": "int"}
+    out = []
+    for name, declared in contract.tables().items():
+        if not _has(c, name):
+            continue
+        there = {f.name: whole.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in c[name].schema}
+        out += [(name, f.name, f.dataType.simpleString(), there.get(f.name)) for f in declared if there.get(f.name) != f.dataType.simpleString()]
+        out += [(name, extra, "none", there[extra]) for extra in there if extra not in declared.names]
+    return out
+
+
 CHECKS = {"chk_not_null": not_null, "chk_enum": enums, "chk_pk": keys, "chk_unique": unique, "chk_fk": parents}
 
 

@@ -1,7 +1,9 @@
 """Converters on files built here."""
 
 import base64
+import html
 import io
+import re
 import zipfile
 import zlib
 from urllib.parse import quote
@@ -52,6 +54,49 @@ def test_page():
     assert text == "## T & u\n\nuno dos\n\n- a\n- b" and len(warnings) == 2
 
 
+def test_pages_with_nested_and_unclosed_parts():
+    text = lambda source: convert.page(source.encode())[0]
+    assert text("<article><p>uno</p><article><p>dos</p></article><p>tres</p></article><p>fuera</p>") == "uno\n\ndos\n\ntres"
+    assert text("<p>uno</p><form><p>dos</p><header>no</header><p>tres") == "uno\n\ndos\n\ntres"
+    assert text("<main><aside>no<nav>no</nav></aside><p>sí</main>") == "sí" and text("") == text("<script>x</script>") == ""
+
+
+def test_linked_nodes_without_a_label():
+    model = '<mxGraphModel><root><mxCell id="1" vertex="1" value=""/><mxCell id="2" vertex="1" value="C"/><mxCell id="4" vertex="1" value=""/><mxCell id="3" edge="1" source="1" target="2"/></root></mxGraphModel>'
+    text = convert.drawio(model.encode())[0]
+    assert "n1[" in text and "n1 --> n2" in text and "n4" not in text
+
+
+def test_times_of_day():
+    assert convert.serial_date(46023.5) == "2026-01-01 12:00" and convert.serial_date(46023.5 + 1 / 86400) == "2026-01-01 12:00:01" and convert.serial_date(46023) == "2026-01-01"
+
+
+def plain_page(source):
+    """The words of a page's main part, by taking away what is no content."""
+    if m := re.search(r"(?s)<(main|article)\b[^>]*>(.*)</\1>", source):
+        source = m[2]
+    for name in convert.NOISE:
+        source = re.sub(rf"(?s)<{name}\b[^>]*>.*?</{name}>", " ", source)
+    return html.unescape(re.sub(r"<[^>]+>", lambda m: "" if re.match(r"</?(a|b|i|em|strong|span|code)\b", m[0]) else " ", source)).split()
+
+
+def test_pages_of_the_table_against_a_plain_version(spark):
+    from tesela.plans.checked import html_to_markdown
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = html_to_markdown(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        words = [w for w in re.sub(r"(?m)^(#+|-) ", "", r.text).split()]
+        assert r.status == "ok" and words == plain_page(pages[r.page_id] or ""), r.page_id
+
+
+def test_a_title_with_quotes_reads_back():
+    for title in ('Dijo "sí": \\ y #', "yes", "- x", "a: b"):
+        doc = markdown.parsed(convert.as_document(title, "Insumo", "hola", 'raw/"a".docx', "2026-01-01T00:00:00Z"))
+        assert doc.error is None and doc.meta["title"] == title and doc.meta["original"] == 'raw/"a".docx'
+
+
 def test_names_and_columns():
     assert convert.title_of("x/2026-01-02-plan_de-obra-3fa9b1c.docx") == "Plan de obra" and convert.title_of("facade.pdf") == "Facade"
     assert [convert.column_index(x) for x in ("A1", "Z9", "AA1", "AB12")] == [0, 25, 26, 27] and convert.serial_date(1, True) == "1904-01-02"

@@ -120,6 +120,19 @@ def test_tables_apply_as_statements(spark):
     assert set(Contract().tables()) == set(TABLES)
     for name, fields in Contract().tables().items():
         assert spark.createDataFrame([], fields).schema == fields, name
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    for statement in Contract().ddl().split(";")[:-1]:
+        assert "CreateTable" in parser.parsePlan(statement).getClass().getName()
+
+
+def test_strict_types(spark):
+    from tesela.plans.constraints import strict
+    from tesela.sources.star import Star
+
+    bundle = Bundle.of_texts(spark, SOUND)
+    assert strict(bundle) == [] and strict(Star(spark, "/root/testdata/sf0.001")) == []
+    wrong = {"persona": bundle["persona"].withColumn("rol", F.lit(1)).drop("equipo").withColumn("nuevo", F.lit("x"))}
+    assert strict(wrong) == [("persona", "rol", "string", "int"), ("persona", "equipo", "string", None), ("persona", "nuevo", "none", "string")]
 
 
 def test_a_new_bundle(spark, tmp_path):
