@@ -7,7 +7,6 @@ two is expected once in about 3,700 corpora. All functions here treat null text
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,29 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/tesela"
+from ..scratch import path as scratch_path
+from ..scratch import saved
 
+__all__ = ["scratch_path", "saved"]  # for the operators
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}-{tag}"
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: later steps start from the files, also after executors are lost."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one numpy step works on; a longer text is a step of its own.
+STEP_BYTES = 2_000_000
 
 
 def fold(key: Column, of: int) -> Column:

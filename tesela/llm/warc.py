@@ -12,8 +12,9 @@ revisit names its response by WARC-Refers-To, which a join resolves. What is not
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -166,7 +167,7 @@ def joined(segments: list[tuple[int, bytes]], total: int) -> bytes:
     return block
 
 
-#: A record or segment as it is read: of a whole record the payload's length and digest take the place of the block.
+#: A record or segment as it is read: of a whole record the payload's length and digest take the place of the block. Broken ones have an origin each.
 _PIECE = "origin string, number int, total long, type string, page_id string, named string, refers string, payload_bytes long, digest string, block binary, error string"
 _PIECE_NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 _PIECE_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -186,14 +187,14 @@ def _payload(block: bytes, stated: str | None) -> tuple[int | None, str | None,
 
 def _piece(fields: dict[str, str], block: bytes) -> tuple | None:
     if "error" in fields:
-        return "", None, None, "broken", None, None, None, None, None, None, fields["error"]
+        return uuid.uuid4().hex, None, None, "broken", None, None, None, None, None, None, fields["error"]
     kind, rid, number = fields["warc-type"], fields["warc-record-id"], fields.get("warc-segment-number")
     stated = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
     head = kind, fields.get("x-page-id"), fields.get("warc-concurrent-to") or rid, fields.get("warc-refers-to")
     if number:
         numbers = number, fields.get("warc-segment-total-length", "0")
         if not all(x.isdecimal() for x in numbers):
-            return "", None, None, "broken", None, rid, None, None, None, None, f"segment {numbers[0]} of {numbers[1]} bytes"
+            return uuid.uuid4().hex, None, None, "broken", None, rid, None, None, None, None, f"segment {numbers[0]} of {numbers[1]} bytes"
         return fields.get("warc-segment-origin-id") or rid, int(number), int(numbers[1]), *head, None, stated, block, None
     if kind == "revisit":
         return rid, None, None, *head, None, stated, None, None
