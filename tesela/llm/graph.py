@@ -77,6 +77,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the driver but three numbers of a step.
     """
     e, (n, *_) = _observed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    parts = -(-n // CHUNK)  # of the tables that are no longer than the edges: no more files than they need
     e, was = _observed((e.coalesce(1) if n <= CHUNK else e).mapInArrow(_forests(CHUNK), "u long, v long"))
     for _ in range(rounds):
         if n <= CHUNK:
@@ -93,4 +94,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("u"), "v").distinct()
-    return saved(e.unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("root")), "roots")
+    return saved(e.unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("root")).coalesce(4 * max(1, parts)), "roots")

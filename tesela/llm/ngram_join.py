@@ -48,6 +48,8 @@ LIST_LIMIT = 24
 BUCKET, BLOCK = 100_000, 2_000
 #: Pairs, and bytes of text, that one numpy step works on: workers have little memory.
 PAIRS, TEXT_BYTES = 100_000, 500_000
+#: Pairs of whole sets that a task compares, at least where there are many.
+PAIRS_IN_TASK = 2_000
 #: Rounds of meeting the nearest class of another group, at most.
 NEAREST_ROUNDS = 3
 #: Bits of the map that says which classes take part in a comparison: at least, and at most (32 MB, broadcast). Other classes' sets that
@@ -411,7 +413,8 @@ def _linked(num: int, den: int) -> Callable:
 def _verify(docs: DataFrame, pairs: DataFrame, text: str, k: int, num: int, den: int, shared: frozenset[int]) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold on their whole sets."""
     sc = docs.sparkSession.sparkContext
-    size = min(MOST_MAP_BITS, max(MAP_BITS, 1 << (32 * pairs.count()).bit_length()))
+    n = pairs.count()
+    size = min(MOST_MAP_BITS, max(MAP_BITS, 1 << (32 * n).bit_length()))
     slot = F.col("c").bitwiseAND(F.lit(size - 1))
     used = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy(F.shiftright(slot, 15).alias("s")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("m"))
     bits = bytearray(size >> 3)
@@ -419,7 +422,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, text: str, k: int, num: int, den:
         bits[r.s << 12 : (r.s + 1) << 12] = r.m
     sets = docs.select(text).mapInArrow(_sets_of(text, k, sc.broadcast(bytes(bits)), shared), "cid long, blob binary").dropDuplicates(["cid"])
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("blob").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("blob").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long")
+    found = both.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long")
+    return saved(found.coalesce(max(12, n // PAIRS_IN_TASK)), "links")  # no more files than the pairs need
 
 
 def _described(docs: DataFrame, text: str, key: str, k: int) -> tuple[DataFrame, DataFrame, frozenset[int], np.ndarray]:
@@ -463,7 +467,7 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         long = saved(long, "lists")
         central = long.groupBy("h", "own").applyInArrow(_central_pairs(num, den), "a long, b long").distinct()
         done = saved(done.unionByName(_suffix_filtered(central, classes, num, den)).distinct(), "pairs")
-    links = saved(_verify(docs, done, text, k, num, den, shared), "links")
+    links = _verify(docs, done, text, k, num, den, shared)
     roots, rounds, first = components(links), 0 if any_long else NEAREST_ROUNDS, True
     while rounds <= NEAREST_ROUNDS:  # the last one leaves nothing out
         parts = [_apart(other, roots)] * first
@@ -474,7 +478,7 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
         if more.isEmpty():  # of each class the nearest are all known; the last round looks beyond them
             rounds = max(rounds + 1, NEAREST_ROUNDS)
             continue
-        new = saved(_verify(docs, more, text, k, num, den, shared), "links")
+        new = _verify(docs, more, text, k, num, den, shared)
         done = done.unionByName(more)
         if new.isEmpty():
             rounds = max(rounds + 1, NEAREST_ROUNDS)
