@@ -185,12 +185,13 @@ def findings_summary(c, p):
 @extra("findings_top_n")
 def findings_top(c, p):
     """The first eight of each check by path, and how many more there are."""
-    rows = _all_findings(c, p)
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("path", "what"))
-    # the first eight of each part of a check come before those of the check, so no task has all of them
-    some = rows.withColumn("part", F.pmod(F.xxhash64("path", "what"), F.lit(256))).withColumn("rank", rank("check", "part")).filter("rank <= 8")
-    first = some.withColumn("rank", rank("check")).filter("rank <= 8")
-    return first.join(rows.groupBy("check").agg(F.count("*").alias("n")), "check").select("check", "rank", "path", "what", F.greatest(F.col("n") - 8, F.lit(0)).alias("more"))
+    part, order = Window.partitionBy("check", "part"), ("path", "what")
+    # the first eight of each part of a check come before those of the check, so no task has all of them; a part's size goes with its first row
+    rows = _all_findings(c, p).withColumn("part", F.pmod(F.xxhash64(*order), F.lit(256)))
+    some = rows.withColumn("rank", F.row_number().over(part.orderBy(*order))).withColumn("size", F.count("*").over(part)).filter("rank <= 8")
+    own = Window.partitionBy("check")
+    first = some.withColumn("n", F.sum(F.when(F.col("rank") == 1, F.col("size"))).over(own)).withColumn("rank", F.row_number().over(own.orderBy(*order))).filter("rank <= 8")
+    return first.select("check", "rank", "path", "what", F.greatest(F.col("n") - 8, F.lit(0)).alias("more"))
 
 
 # ------------------------------------------------ derived
