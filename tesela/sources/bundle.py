@@ -175,9 +175,16 @@ class Bundle:
 
     __getitem__ = table
 
+    #: Bundles are searched in one pass.
+    stored = None
+
     @property
     def busqueda(self) -> DataFrame:
-        return self._of(None).select("path", F.col("m.title").alias("title"), F.col("m.description").alias("description"), F.col("m.resumen").alias("resumen"), F.col("body").alias("cuerpo"))
+        return self.textos.drop("type")
+
+    @property
+    def textos(self) -> DataFrame:
+        return self._of(None).select("path", F.col("m.type").alias("type"), F.col("m.title").alias("title"), F.col("m.description").alias("description"), F.col("m.resumen").alias("resumen"), F.col("body").alias("cuerpo"))
 
     @cached_property
     def consultas(self) -> DataFrame:

@@ -132,7 +132,11 @@ class Star:
     @cached_property
     def busqueda(self) -> DataFrame:
         """path and the texts that search reads."""
-        return self._all.select("path", "title", "description", "resumen", "cuerpo")
+        return self.textos.drop("type")
+
+    @cached_property
+    def textos(self) -> DataFrame:
+        return self._all.select("path", "type", "title", "description", "resumen", "cuerpo")
 
     @cached_property
     def _all(self) -> DataFrame:
@@ -142,15 +146,24 @@ class Star:
             out = rows if out is None else out.unionByName(rows)
         return out
 
-    @cached_property
-    def index(self):
-        """The stored search index over these tables, made when it is first asked for and anew when a table has been written since."""
+    def _index(self):
+        """The place of the search index over these tables: another one when a table has been written since."""
         from ..operators.index import Index
 
         names = [f"{t}.parquet" for t in ("customer", "supplier", "part", "orders", "conversations", "region", "nation", "documents", "pages")]
         state = hashlib.sha256(f"{self.sf_dir}\n{stamp(self.spark, self.sf_dir, names)}".encode()).hexdigest()[:24]
-        index = Index(self.spark, f"{shared_dir(self.spark)}/tesela-index/{state}")
-        return index if index.exists() else index.build(self._all.select("path", "title", "description", "resumen", "cuerpo", F.col("type").alias("kind"), F.col("title").alias("head")), ["kind", "head"])
+        return Index(self.spark, f"{shared_dir(self.spark)}/tesela-index/{state}")
+
+    @cached_property
+    def index(self):
+        """The stored search index, made when it is first asked for. Queries use it once it is there (`stored`), and don't make it."""
+        return self.stored or self._index().build(self.textos.withColumnRenamed("type", "kind").withColumn("head", F.col("title")), ["kind", "head"])
+
+    @property
+    def stored(self):
+        """The search index if it has been made of the tables as they are, else None."""
+        index = self._index()
+        return index if index.exists() else None
 
     def table(self, name: str) -> DataFrame:
         if name in COLUMNS:
