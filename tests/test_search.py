@@ -13,7 +13,7 @@ from tesela.operators import search
 from tesela.operators.index import Index
 from tesela.sources.star import Star
 
-ONE_PASS = ["fts_phrase", "fts_match"]
+ONE_PASS = ["fts_phrase", "fts_match", "fts_prefix"]
 
 
 @pytest.fixture(scope="module")
