@@ -54,7 +54,7 @@ def phrase(c, p):
 
 @extra("fts_topk")
 def topk(c, p):
-    found = c.index.ranked(p["termino"], 10) if hasattr(c, "index") else search.ranked(c.busqueda, p["termino"], 10)
+    found = c.stored.ranked(p["termino"], 10) if c.stored else search.ranked(c.busqueda, p["termino"], 10)
     return found.select("path", F.round("relevancia", 6).alias("relevancia"))
 
 
