@@ -61,7 +61,7 @@ def topk(c, p):
 @extra("fts_postings")
 def postings(c, p):
     """The whole inverted index: in which column of which document each word is, and how often."""
-    return c.index.postings()
+    return c.stored.postings() if c.stored else search.postings(c.busqueda)
 
 
 @extra("fts_terms")
