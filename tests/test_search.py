@@ -13,7 +13,7 @@ from tesela.operators import search
 from tesela.operators.index import Index
 from tesela.sources.star import Star
 
-ONE_PASS = ["fts_phrase", "fts_match", "fts_prefix", "fts_topk", "fts_postings", "cq_49", "fts_column"]
+ONE_PASS = ["fts_phrase", "fts_match", "fts_prefix", "fts_topk", "fts_postings", "cq_49", "fts_column", "cq_29"]
 
 
 @pytest.fixture(scope="module")
