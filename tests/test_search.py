@@ -56,7 +56,7 @@ def test_an_index_that_is_stored_is_used(spark, fresh):
     assert _rows(QUERIES["fts_phrase"](spark, str(other)).collect()) == _rows(QUERIES["fts_phrase"](spark, str(fresh)).collect())
 
 
-@pytest.mark.parametrize("name", ["fts_match", "fts_prefix"])
+@pytest.mark.parametrize("name", ["fts_match", "fts_prefix", "fts_column"])
 def test_the_jvm_compiles_each_method(spark, fresh, name):
     """It interprets methods of more than 8,000 bytes at many times the cost, and compiles none of them."""
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
