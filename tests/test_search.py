@@ -56,7 +56,7 @@ def test_an_index_that_is_stored_is_used(spark, fresh):
     assert _rows(QUERIES["fts_phrase"](spark, str(other)).collect()) == _rows(QUERIES["fts_phrase"](spark, str(fresh)).collect())
 
 
-@pytest.mark.parametrize("name", ["fts_match", "fts_prefix", "fts_column"])
+@pytest.mark.parametrize("name", ["fts_match", "fts_prefix", "fts_column", "cq_29"])
 def test_the_jvm_compiles_each_method(spark, fresh, name):
     """It interprets methods of more than 8,000 bytes at many times the cost, and compiles none of them."""
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
@@ -70,6 +70,19 @@ def test_the_jvm_compiles_each_method(spark, fresh, name):
     assert sizes and max(sizes) < 8000, sizes
 
 
+def test_a_question_on_decisions_reads_no_other_texts(spark, fresh):
+    """Rows of one key with different texts too: each counts if one of them matches, as in SQL."""
+    assert not re.search("c_custkey|p_partkey|conv_id|page_id", QUERIES["cq_29"](spark, str(fresh))._jdf.queryExecution().optimizedPlan().toString())
+    again, con = shutil.copytree(fresh, fresh.parent / "again"), duckdb.connect()
+    (again / "orders.parquet").unlink()
+    con.execute(f"copy (from '{SF}/orders.parquet' union all by name select * replace ('1-URGENT' as o_orderpriority) from '{SF}/orders.parquet' where o_orderkey % 4 = 1) to '{again}/orders.parquet' (format parquet)")
+    for f in again.glob("*.parquet"):
+        con.execute(f"create view {f.stem} as select * from '{f}'")
+    df, sql = QUERIES["cq_29"](spark, str(again)), con.execute(ORACLE["cq_29"])
+    want = _shown([d[0] for d in sql.description], sql.fetchall())
+    assert len(want[1]) > len(set(want[1])) and _shown(df.columns, df.collect()) == want
+
+
 ODD = [None, "", " ", "a", "-a-", "A_b\tc\n", "Ünïcödé ẞtraße İstanbul", "éa ño", "x² ½ Ⅷ 中文 日本", "...", "a b​c", "ﬁn ŒUVRE ǅ", "ÀÉ", "o" * 300 + " O" * 300, "dz' \"q\" [^a-z] \\p $1", "̀́", "\U0001d400\U0001f600z"]
 
 
