@@ -27,7 +27,7 @@ def unaccented(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{Mn}+", "")
 
 
-def _by_kind(text: Column, ascii_: Callable[[Column], Column], other: Callable[[Column], Column]) -> Column:
+def by_kind(text: Column, ascii_: Callable[[Column], Column], other: Callable[[Column], Column]) -> Column:
     """What the two functions make of a text, null as empty: texts of ASCII alone have no accents and shorter classes of letters."""
     text = F.coalesce(text, F.lit(""))
     return F.when(F.octet_length(text) == F.char_length(text), ascii_(text)).otherwise(other(text))
@@ -35,13 +35,13 @@ def _by_kind(text: Column, ascii_: Callable[[Column], Column], other: Callable[[
 
 def folded(text: Column) -> Column:
     """Lower-case, without accents."""
-    return _by_kind(text, F.lower, lambda t: unaccented(F.lower(t)))
+    return by_kind(text, F.lower, lambda t: unaccented(F.lower(t)))
 
 
 def spaced(text: Column) -> Column:
     """The words of `tokens`, one space before each and one at the end, so that " a b " is in it where these words follow each other."""
     around = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
-    return _by_kind(text, lambda t: F.regexp_replace(around(F.lower(t)), "[^a-z0-9]+", " "), lambda t: F.regexp_replace(around(unaccented(F.lower(t))), r"[^\p{L}\p{N}]+", " "))
+    return by_kind(text, lambda t: F.regexp_replace(around(F.lower(t)), "[^a-z0-9]+", " "), lambda t: F.regexp_replace(around(unaccented(F.lower(t))), r"[^\p{L}\p{N}]+", " "))
 
 
 def tokens(text: Column) -> Column:

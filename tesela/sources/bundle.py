@@ -178,6 +178,11 @@ class Bundle:
     #: Bundles are searched in one pass.
     stored = None
 
+    def texts(self, kind: str | None = None) -> list[tuple[DataFrame, dict]]:
+        """key (the path), path and texts of documents; no column is known to be made of others."""
+        rows = self.textos.filter(F.col("type") == kind) if kind else self.textos
+        return [(rows.drop("type").withColumn("key", F.col("path")), {})]
+
     @property
     def busqueda(self) -> DataFrame:
         return self.textos.drop("type")

@@ -2,10 +2,12 @@
 
 import re
 import shutil
+from functools import reduce
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from test_star import ORACLE, QUERIES, SF, _plain
 
@@ -107,3 +109,20 @@ def test_columns_are_looked_at_together_and_matched_apart(spark):
     docs = spark.createDataFrame([("a", "del uno", "dos", None, None), ("b", "ñ", None, "UNO  dos", "uno"), ("c", "uno dosX", "Σ", "uno\ndos", None), ("d", None, None, None, None)], "path string, title string, description string, resumen string, cuerpo string")
     found = lambda q: sorted(r.path for r in search.matching(docs, q).collect())
     assert found('"uno dos"') == ["b", "c"] and found("uno dos") == ["a", "b", "c"] and found("title:uno NOT dos") == [] and found("n OR σ") == ["b", "c"] and found("uno NOT title:del") == ["b", "c"]
+
+
+def test_types_whose_titles_cannot_have_a_word_are_not_read(spark, fresh):
+    assert not re.search("conv_id|page_id|doc_id", QUERIES["fts_column"](spark, str(fresh))._jdf.queryExecution().optimizedPlan().toString())
+    others = [docs.filter(~F.col(c).eqNullSafe(F.concat(F.lit(f"{constant} "), rest))).select("path") for docs, made in Star(spark, str(fresh)).texts() for c, (constant, rest) in made.items()]
+    assert len(others) == 22 and reduce(DataFrame.unionByName, others).count() == 0
+
+
+def test_columns_made_of_others_are_matched_as_texts_are(spark):
+    keys = spark.createDataFrame([(k, t) for k in (5, -51, 0, None) for t in (None, "uno 5", "Decisión", "x5 urgente, URGENT")], "key bigint, cuerpo string")
+    docs = keys.selectExpr("concat(key, '-', cuerpo) path", "key", "concat('Decision ', key) title", "concat('Documento Decision ', key) description", "substr(cuerpo, 1, 8) resumen", "cuerpo")
+    named = docs.withColumn("title", F.col("cuerpo")).withColumn("description", F.concat(F.lit("Documento "), "title"))
+    numbered = {"title": ("Decision", "key"), "description": ("Documento Decision", "key")}
+    for rows, made in ((docs, numbered), (docs.withColumn("key", F.col("key").cast("string")), numbered), (named, {"description": ("Documento", "title")})):
+        for q in ["5", "5*", "51", "decision", "deci*", "documento NOT decision", "NOT 5 documento", "title:decision NOT urgent", "urgent OR 0", '"documento decision"', '"decision 5"*', "description:uno", "x5", "²", "resumen:urg*", "uno NOT title:uno"]:
+            found = lambda m: _rows(search.matching(rows.withColumn("path", F.struct("path", "key", "cuerpo")), q, m).collect())  # noqa: B023, E731
+            assert found(made) == found(None), q
