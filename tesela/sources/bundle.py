@@ -183,6 +183,10 @@ class Bundle:
         rows = self.textos.filter(F.col("type") == kind) if kind else self.textos
         return [(rows.drop("type").withColumn("key", F.col("path")), {})]
 
+    def fields(self, kind: str) -> DataFrame:
+        """A type's table with `key`, its documents' path."""
+        return self[kind.lower()].withColumn("key", F.col("doc"))
+
     @property
     def busqueda(self) -> DataFrame:
         return self.textos.drop("type")

@@ -137,6 +137,10 @@ class Star:
         made = lambda k: {"title": (k, "key"), "description": (f"Documento {k}", "key")} if k in NUMBERED else {"description": ("Documento", "title")}
         return [(self._common(k).select("key", "path", "title", "description", "resumen", "cuerpo"), made(k)) for k in ([kind] if kind else TYPES)]
 
+    def fields(self, kind: str) -> DataFrame:
+        """A type's table with `key`, its documents' number: as good as their path in joins, which then exchange no texts."""
+        return self.source(kind).select(F.col("num").alias("key"), *COLUMNS[kind.lower()].split())
+
     @cached_property
     def busqueda(self) -> DataFrame:
         """path and the texts that search reads."""

@@ -126,3 +126,17 @@ def test_columns_made_of_others_are_matched_as_texts_are(spark):
         for q in ["5", "5*", "51", "decision", "deci*", "documento NOT decision", "NOT 5 documento", "title:decision NOT urgent", "urgent OR 0", '"documento decision"', '"decision 5"*', "description:uno", "x5", "²", "resumen:urg*", "uno NOT title:uno"]:
             found = lambda m: _rows(search.matching(rows.withColumn("path", F.struct("path", "key", "cuerpo")), q, m).collect())  # noqa: B023, E731
             assert found(made) == found(None), q
+
+
+def test_decisions_on_a_subject_meet_by_number(spark, fresh):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["cq_29"](spark, str(fresh))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert (dealt := re.findall(r"hashpartitioning\((.*?), \d+\)", plan)) and all(re.fullmatch(r"(key|num)#\d+L", x) for x in dealt), dealt
+    assert "dec-" not in plan
